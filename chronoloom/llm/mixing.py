@@ -20,7 +20,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     ``sizes`` has ``src`` and ``s``, one row a source. The excess over a stop is shared again
     by weight among the others, which is water filling: target = min(most * s, w * level). The
     sources are taken in order of the level at which they stop, with running sums of stops
-    and weights, so the level is found in one pass. One row a source is ordered in one task;
+    and weights: the level over those left rises up to the first source that does not stop and
+    falls after it, so it is the largest among sources that do not stop below it. One row a source is ordered in one task;
     nothing of documents is. A source of size 0 has target 0.
     """
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
@@ -31,7 +32,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     df = df.withColumn("cap_before", F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))).withColumn("w_before", F.coalesce(F.sum("w").over(ahead), F.lit(0.0)))
     level = (F.sum("s").over(every) * F.lit(float(share)) - F.col("cap_before")) / (F.sum("w").over(every) - F.col("w_before"))
     df = df.withColumn("level_here", level)
-    df = df.withColumn("level", F.min(F.when(F.col("cap") / F.col("w") >= F.col("level_here"), F.col("level_here"))).over(every))
+    df = df.withColumn("level", F.max(F.when(F.col("cap") / F.col("w") >= F.col("level_here"), F.col("level_here"))).over(every))
     return df.select("src", "s", "w", "level", F.least("cap", F.col("w") * F.col("level")).alias("target"))
 
 
@@ -137,7 +138,7 @@ WITH base AS (
     sum(s) OVER ()::DOUBLE * 1.5::DOUBLE AS budget, sum(w) OVER () AS w_all
   FROM src
 ), lvl AS (
-  SELECT *, min(CASE WHEN cap / w >= (budget - cap_before) / (w_all - w_before) THEN (budget - cap_before) / (w_all - w_before) END) OVER () AS level FROM filled
+  SELECT *, max(CASE WHEN cap / w >= (budget - cap_before) / (w_all - w_before) THEN (budget - cap_before) / (w_all - w_before) END) OVER () AS level FROM filled
 ), timed AS (
   SELECT doc_id, sz, b.source, l.s, l.w, least(l.cap, l.w * l.level) AS target, budget,
     sum(sz) OVER (PARTITION BY b.source ORDER BY r, doc_id NULLS FIRST, sz ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
