@@ -1,0 +1,6 @@
+"""Registered queries over the graph tables."""
+
+from . import store_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
