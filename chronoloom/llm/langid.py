@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     kept = [(f"c{i}", n) for i, n in enumerate(f.names) if n.lower() not in ("lang_pred", "score")]
     at = [c for c, _ in kept].index(f.at(text))
     df = f.df.select(*[c for c, _ in kept])
-    schema = T.StructType(df.schema.fields).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType(list(df.schema.fields)).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -47,7 +47,7 @@ def stem_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(w.low) + 1, np.uint64)
     np.cumsum((w.low.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(w.low)), out=sums[1:])
     s = w.start[long]
-    return long, mixed((sums[s + size] - sums[s]) * powers(INVERSE, len(w.low) + 1)[s] + np.uint64(size) * np.uint64(0xA24BAED4963EE407))
+    return long, mixed((sums[s + size] - sums[s]) * powers(INVERSE, len(w.low) + 1)[s] + np.uint64(size * 0xA24BAED4963EE407 % (1 << 64)))
 
 
 @dataclass
