@@ -110,12 +110,12 @@ def without_repeats(docs: DataFrame, *, kind: str = "sentence", least: int = MIN
     spans = repeated_units(docs, kind=kind, least=least, key=key, text=text)
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed")).withColumnRenamed("doc_id", "gone_id")
     joined = f.df.join(spans, F.col(f.at(key)).cast("long") == F.col("gone_id"), "left").drop("gone_id")
-    at, fields = f.names.index(text), joined.schema
+    at, fields, last = f.names.index(text), joined.schema, len(f.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            new = [t.as_py() if not s.is_valid else cut_spans(t.as_py().encode(), [(x["start"], x["stop"]) for x in s.as_py()]).decode() for t, s in zip(texts, batch.column(len(f.names)), strict=True)]
+            new = [t.as_py() if not s.is_valid else cut_spans(t.as_py().encode(), [(x["start"], x["stop"]) for x in s.as_py()]).decode() for t, s in zip(texts, batch.column(last), strict=True)]
             cols = batch.columns
             cols[at] = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)

@@ -149,7 +149,7 @@ def test_boosting_and_calibration():
 
 
 def test_toxicity_features_see_disguise_pronouns_and_caps():
-    lex = toxicity.learn_lexicon(*buffer(["fine text"] * 10), np.zeros(10))
+    lex = toxicity.seed_lexicon()
     rows = ["You are an idiot", "IDIOT!!! LOSER", "an 1d1ot and an id!ot here", "calm words here", "", "you " * 30]
     x = dict(zip(rows, toxicity.features(*buffer(rows), lex), strict=True))
     at = {n: i for i, n in enumerate(toxicity.FEATURES)}
