@@ -16,20 +16,25 @@ from .common import Frame, slices, table, text_buffer
 from .tokens import find_words
 
 #: Hashed terms (2**TERM_BITS) and latent dimensions.
-TERM_BITS, DIMENSIONS = 14, 64
+TERM_BITS, DIMENSIONS = 14, 36
+#: Leading directions left out of the map: they tell languages and boilerplate apart, which every passage of a kind shares.
+LEADING = 4
+#: Non-zero entries of a term in the random matrix of the decomposition.
+NONZEROS = 2
 #: Words of a corpus passage when the space is fitted.
 PASSAGE = 32
 #: Words between window starts, and window lengths; an item is matched at the length nearest its own.
 STEP, WINDOWS = 8, (16, 32, 48)
 #: Cosine from which a window is compared with an item word by word.
-COSINE = 0.55
+COSINE = 0.5
+#: Share of a window's idf weight that must lie on the item's terms before words are compared in order.
+OVERLAP = 0.4
 #: Share of the item's words, in order, that makes a copy; and that makes a paraphrase if the answer is there too.
 COPY, PARAPHRASE = 0.75, 0.5
 #: Without an answer column, an item's answer is taken to be its rarest words, so many; this share must be present.
 ANSWER_WORDS, ANSWER_SHARE = 6, 0.6
 #: Items that one pass over the documents carries (broadcast).
 BLOCK_ITEMS = 20_000
-CHUNK = 1 << 14
 
 
 def terms(hashes: np.ndarray) -> np.ndarray:
@@ -44,34 +49,39 @@ def block_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first[text] + (np.arange(begin[-1]) - begin[text]) * size, begin
 
 
-def run_sums(table: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of ``table[ids]`` over the runs that begin at ``starts``, some rows at a time."""
+def block_sums(table: np.ndarray, ids: np.ndarray, first: np.ndarray, starts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of ``table[ids]`` over runs of STEP words; ``table`` ends in a zero row, which fills a text's last run."""
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    ends = first[text + 1]
+    none = len(table) - 1
     out = np.zeros((len(starts), table.shape[1]), np.float32)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK, side="right")) - 1)
-        hi = len(starts) if starts[-1] < starts[lo] + CHUNK else hi
-        end = starts[hi] if hi < len(starts) else len(ids)
-        out[lo:hi] = np.add.reduceat(table[ids[starts[lo] : end]], starts[lo:hi] - starts[lo], axis=0)
-        lo = hi
+    for lo in range(0, len(starts), 2048):
+        s, e = starts[lo : lo + 2048], ends[lo : lo + 2048]
+        for k in range(STEP):
+            at = np.minimum(s + k, len(ids) - 1)
+            out[lo : lo + 2048] += table.take(np.where(s + k < e, ids[at], none), axis=0)
     return out
 
 
+def sparse_signs(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random matrix: every term has NONZEROS columns with a sign each."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, DIMENSIONS, (NONZEROS, 1 << TERM_BITS)), rng.choice([-1.0, 1.0], (NONZEROS, 1 << TERM_BITS))
+
+
 def sketch(docs: DataFrame, *, text: str = "text", seed: int = 11) -> tuple[np.ndarray, np.ndarray, int]:
     """One pass of the randomised decomposition over all passages of all documents.
 
-    With T the passages' term counts and G a random matrix, every task adds up T'(TG) and the
+    With T the passages' term counts and G a sparse random matrix, every task adds up T'(TG) and the
     passage frequency of each term over the rows it reads; the sums of the tasks meet by term.
     What reaches the driver is terms x (dimensions + 1) numbers, whatever the corpus.
     """
     spark = docs.sparkSession
     f = Frame(docs)
-    random = np.random.default_rng(seed).standard_normal((1 << TERM_BITS, DIMENSIONS)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(random)
+    columns, signs = sparse_signs(seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
-        back, df, passages = np.zeros(g.shape), np.zeros(len(g), np.int64), 0
+        back, df, passages = np.zeros((DIMENSIONS, 1 << TERM_BITS)), np.zeros(1 << TERM_BITS, np.int64), 0
         for batch in batches:
             data, offs = text_buffer(batch.column(0))
             for i, j in slices(offs, 1 << 20):
@@ -80,21 +90,19 @@ def sketch(docs: DataFrame, *, text: str = "text", seed: int = 11) -> tuple[np.n
                     continue
                 ids = terms(w.hash)
                 starts, _ = block_starts(w.first, PASSAGE)
-                sums = run_sums(g, ids, starts)
-                of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+                n, sizes = len(starts), np.diff(np.append(starts, len(ids)))
+                of = np.repeat(np.arange(n), sizes)
+                sums = sum(np.bincount(columns[z][ids] * n + of, signs[z][ids], DIMENSIONS * n) for z in range(NONZEROS)).reshape(DIMENSIONS, n)
+                for k in range(DIMENSIONS):
+                    back[k] += np.bincount(ids, np.repeat(sums[k], sizes), 1 << TERM_BITS)
                 order = np.argsort(ids, kind="stable")
                 own, at = ids[order], of[order]
-                edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                for lo in range(0, len(edges), 2048):
-                    part = edges[lo : lo + 2048]
-                    end = edges[lo + 2048] if lo + 2048 < len(edges) else len(own)
-                    back[own[part]] += np.add.reduceat(sums[at[part[0] : end]], part - part[0], axis=0)
                 fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1])])
                 df += np.bincount(own[fresh], minlength=len(df))
-                passages += len(starts)
+                passages += n
         live = np.flatnonzero(df)
         names = ["term", "df", *[f"y{k}" for k in range(DIMENSIONS)]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1).astype(np.int32)), pa.array(np.append(df[live], passages)), *[pa.array(np.append(back[live, k], 0).astype(np.float32)) for k in range(DIMENSIONS)]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1).astype(np.int32)), pa.array(np.append(df[live], passages)), *[pa.array(np.append(back[k, live], 0).astype(np.float32)) for k in range(DIMENSIONS)]], names=names)
 
     ys = [f"y{k}" for k in range(DIMENSIONS)]
     schema = "term int, df long, " + ", ".join(f"{y} float" for y in ys)
@@ -115,7 +123,7 @@ def sketch(docs: DataFrame, *, text: str = "text", seed: int = 11) -> tuple[np.n
 
 @dataclass
 class Space:
-    """idf of every term and the map from terms to the latent space."""
+    """idf of every term and the map from terms to the latent space (one zero row more than terms)."""
 
     idf: np.ndarray
     project: np.ndarray
@@ -127,7 +135,8 @@ def fit_space(docs: DataFrame, *, text: str = "text") -> Space:
     idf = np.log((passages + 1.0) / (df + 0.5)).clip(0.1)
     u, s, _ = np.linalg.svd(back * idf[:, None], full_matrices=False)
     scale = 1 / np.sqrt(np.maximum(s, s[0] * 1e-9)) if s[0] > 0 else np.zeros(len(s))
-    return Space(idf, (idf[:, None] * u * scale).astype(np.float32))
+    project = (idf[:, None] * u * scale)[:, LEADING:].astype(np.float32)
+    return Space(idf, np.concatenate([project, np.zeros((1, project.shape[1]), np.float32)]))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -161,11 +170,12 @@ class Probe:
     items: list[Item]
     vectors: dict[int, np.ndarray]
     owner: dict[int, np.ndarray]
+    holds: dict[int, np.ndarray]
 
 
 def make_probe(space: Space, rows: list[tuple]) -> Probe:
     """rows: (item_id, text, answer or None). An item longer than the longest window is searched for by its parts."""
-    items, vectors, owner = [], defaultdict(list), defaultdict(list)
+    items, vectors, owner, parts = [], defaultdict(list), defaultdict(list), defaultdict(list)
     for item_id, text, answer in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         hashes = find_words(data, np.array([0, len(data)])).hash
@@ -187,10 +197,16 @@ def make_probe(space: Space, rows: list[tuple]) -> Probe:
             part = ids[lo : lo + size] if len(words) > size * 3 // 2 else ids
             vectors[size].append(space.project[part].sum(axis=0))
             owner[size].append(len(items))
+            parts[size].append(part)
             if len(words) <= size * 3 // 2:
                 break
         items.append(Item(item_id, words, masks, key))
-    return Probe(space, items, {k: unit(np.array(v, np.float32)) for k, v in vectors.items()}, {k: np.array(v) for k, v in owner.items()})
+    holds = {}
+    for size, some in parts.items():
+        holds[size] = np.zeros((len(some), 1 << TERM_BITS), bool)
+        for i, part in enumerate(some):
+            holds[size][i, part] = True
+    return Probe(space, items, {k: unit(np.array(v, np.float32)) for k, v in vectors.items()}, {k: np.array(v) for k, v in owner.items()}, holds)
 
 
 def find_leaks(data: np.ndarray, offs: np.ndarray, probe: Probe) -> list[tuple]:
@@ -198,20 +214,33 @@ def find_leaks(data: np.ndarray, offs: np.ndarray, probe: Probe) -> list[tuple]:
     w = find_words(data, offs)
     if not len(w.hash) or not probe.items:
         return []
+    ids = terms(w.hash)
     starts, begin = block_starts(w.first, STEP)
-    sums = np.concatenate([np.zeros((1, DIMENSIONS)), np.cumsum(run_sums(probe.space.project, terms(w.hash), starts), axis=0, dtype=np.float64)])
+    sums = block_sums(probe.space.project, ids, w.first, starts, begin)
     text_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    last = begin[text_of + 1]
+    weight = probe.space.idf[ids].astype(np.float32)
     near: dict[tuple[int, int], list[tuple[float, int, int]]] = defaultdict(list)
     for size, vectors in probe.vectors.items():
         blocks = size // STEP
         at = np.flatnonzero((np.arange(len(starts)) - begin[text_of]) % max(1, blocks // 2) == 0)
-        end = np.minimum(at + blocks, last[at])
-        for lo in range(0, len(at), 8192):
-            x = unit((sums[end[lo : lo + 8192]] - sums[at[lo : lo + 8192]]).astype(np.float32))
-            for r, c in np.argwhere(x @ vectors.T >= COSINE):
-                b = at[lo + r]
-                near[int(text_of[b]), int(probe.owner[size][c])].append((float(x[r] @ vectors[c]), int(starts[b]), size))
+        last = begin[text_of[at] + 1]
+        for lo in range(0, len(at), 4096):
+            b, stop = at[lo : lo + 4096], last[lo : lo + 4096]
+            x = sums[b]
+            for k in range(1, blocks):
+                x += np.where((b + k < stop)[:, None], sums[np.minimum(b + k, len(sums) - 1)], 0)
+            scores = unit(x) @ vectors.T
+            r, c = np.nonzero(scores >= COSINE)
+            for some in range(0, len(r), 8192):
+                rr, cc = r[some : some + 8192], c[some : some + 8192]
+                words = starts[b[rr]][:, None] + np.arange(size)
+                inside = words < w.first[text_of[b[rr]] + 1][:, None]
+                words = np.minimum(words, len(ids) - 1)
+                gain = weight[words] * inside
+                hit = probe.holds[size][cc[:, None], ids[words]]
+                for i in np.flatnonzero(np.einsum("ij,ij->i", gain, hit) >= OVERLAP * gain.sum(axis=1)):
+                    block = b[rr[i]]
+                    near[int(text_of[block]), int(probe.owner[size][cc[i]])].append((float(scores[rr[i], cc[i]]), int(starts[block]), size))
     out = []
     for (row, k), found in near.items():
         item, best = probe.items[k], None
