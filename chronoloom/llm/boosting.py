@@ -95,12 +95,13 @@ class Isotonic:
         return np.clip(np.interp(margin, self.at, self.to), 0.0, 1.0)
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> Isotonic:
-    """Pool adjacent violators; one smoothing row of either label at the ends keeps scores off 0 and 1."""
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+    """Pool adjacent violators, rows by weight; one smoothing row of either label at the ends keeps scores off 0 and 1."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # sum of margins, sum of labels, weight
-    for m, v in zip(margin[order], y[order], strict=True):
-        blocks.append([m, v, 1.0])
+    blocks: list[list[float]] = []  # sums of margins, labels and weights
+    for m, v, w in zip(margin[order], y[order], weight[order], strict=True):
+        blocks.append([m * w, v * w, w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + c for a, c in zip(blocks[-1], last, strict=True)]

@@ -16,7 +16,7 @@ from .common import Frame, slices, table, text_buffer
 from .tokens import BASE, INVERSE, Words, find_words, mixed, powers, word_hashes
 
 #: Labelled documents of each label that the model learns from, at most (in order of their ids' MD5).
-PER_LABEL = 3_000
+PER_LABEL = 2_000
 FOLDS, HELD_OUT = 5, 0
 #: Fixed seed insults; the lexicon learnt from the training rows is added to them.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "abruti", "crétin", "connard", "dummkopf", "trottel", "idioten", "abschaum", "estúpido", "imbécil", "basura", "escoria")
@@ -81,17 +81,39 @@ def document_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
         at, h = stem_hashes(w, size)
         rows.append(w.row[at])
         hashes.append(h)
-    pairs = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(hashes)], names="r,h"))
-    return pairs["r"], pairs["h"]
-
-
-def learn_lexicon(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> Lexicon:
-    """Units that stand in toxic training documents far more often than in others, weighted by the log of the ratio."""
-    rows, hashes = document_units(data, offs)
-    keys, which = np.unique(hashes, return_inverse=True)
-    toxic = np.bincount(which, y[rows], len(keys))
-    other = np.bincount(which, 1 - y[rows], len(keys))
-    ratio = ((toxic + 0.5) / (y.sum() + 1)) / ((other + 0.5) / (len(y) - y.sum() + 1))
+    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    return rows[fresh], hashes[fresh]
+
+
+def unit_counts(texts: list[str], y: np.ndarray, fold: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units that stand in LEAST_DOCS toxic texts or more, and counts[label, fold, unit] of the texts that hold them; a slice of texts at a time."""
+    found = [np.zeros(0, np.uint64)]
+    toxic = np.flatnonzero(y == 1)
+    data, offs = as_buffer([texts[i] for i in toxic])
+    for i, j in slices(offs, 1 << 19):
+        found.append(document_units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[1])
+    keys, n = np.unique(np.concatenate(found), return_counts=True)
+    keys = keys[n >= LEAST_DOCS]
+    counts = np.zeros((2, parts, len(keys)))
+    data, offs = as_buffer(texts)
+    for i, j in slices(offs, 1 << 19):
+        if not len(keys):
+            break
+        rows, hashes = document_units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hit = keys[at] == hashes
+        rows, at = rows[hit] + i, at[hit]
+        np.add.at(counts, (y[rows].astype(int), fold[rows], at), 1)
+    return keys, counts
+
+
+def learn_lexicon(keys: np.ndarray, toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> Lexicon:
+    """Units that stand in toxic training documents far more often than in others, weighted by the log of the ratio; and the seed words."""
+    ratio = ((toxic + 0.5) / (n_toxic + 1)) / ((other + 0.5) / (n_other + 1))
     listed = (toxic >= LEAST_DOCS) & (ratio >= LEAST_RATIO)
     weights = dict(zip(keys[listed].tolist(), np.log(ratio[listed]).tolist(), strict=True))
     for word in SEED_WORDS:
@@ -101,6 +123,11 @@ def learn_lexicon(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> Lexicon:
     return Lexicon(order, np.array([weights[int(k)] for k in order]), np.unique(np.concatenate([word_hashes(p) for p in SECOND_PERSON])))
 
 
+def seed_lexicon() -> Lexicon:
+    none = np.zeros(0)
+    return learn_lexicon(np.zeros(0, np.uint64), none, none, 0, 0)
+
+
 def per_row(row: np.ndarray, values, n: int) -> np.ndarray:
     return np.bincount(row, values, n) if len(row) else np.zeros(n)
 
@@ -146,6 +173,11 @@ def features(data: np.ndarray, offs: np.ndarray, lex: Lexicon, window: int = 50)
     return np.stack([np.asarray(c, float) for c in columns], axis=1)
 
 
+def text_features(texts: list[str], lex: Lexicon) -> np.ndarray:
+    data, offs = as_buffer(texts)
+    return np.concatenate([features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lex) for i, j in slices(offs, 1 << 19)])
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -161,22 +193,31 @@ def as_buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
 
 
-def fit(texts: list[str], y: np.ndarray, parts: int = 4) -> Model:
-    """Lexicon, trees and calibration; the lexicon that a fold's features use is learnt on the other folds, and the trees' margins for calibration are out of fold too."""
+def fit(texts: list[str], y: np.ndarray, parts: int = 4, share: float | None = None) -> Model:
+    """Lexicon, trees and calibration; the lexicon that a fold's features use is learnt on the other folds, and the trees' margins for calibration are out of fold too. ``share``: of toxic rows among all, if the given ones are no fair sample."""
     y = np.asarray(y, float)
     if not len(texts):
-        return Model(learn_lexicon(np.zeros(0, np.uint8), np.zeros(1, np.int64), y), Boosted([np.zeros(0)] * len(FEATURES), [], 0.0), isotonic(np.zeros(0), y))
+        return Model(seed_lexicon(), Boosted([np.zeros(0)] * len(FEATURES), [], 0.0), isotonic(np.zeros(0), y))
     fold = np.arange(len(texts)) % parts
+    keys, counts = unit_counts(texts, y, fold, parts)
+    sizes = np.array([[((y == v) & (fold == k)).sum() for k in range(parts)] for v in (0, 1)], float)
+
+    def lexicon(skip: int | None) -> Lexicon:
+        use = np.arange(parts) != (-1 if skip is None else skip)
+        return learn_lexicon(keys, counts[1][use].sum(axis=0), counts[0][use].sum(axis=0), sizes[1][use].sum(), sizes[0][use].sum())
+
     x = np.zeros((len(texts), len(FEATURES)))
     for k in range(parts):
-        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        lex = learn_lexicon(*as_buffer([texts[i] for i in rest]), y[rest])
+        own, lex = np.flatnonzero(fold == k), lexicon(k)
         if len(own):
-            x[own] = features(*as_buffer([texts[i] for i in own]), lex)
+            x[own] = text_features([texts[i] for i in own], lex)
     margin = np.zeros(len(y))
     for k in range(parts):
-        margin[fold == k] = boost(x[fold != k], y[fold != k]).margins(x[fold == k])
-    return Model(learn_lexicon(*as_buffer(texts), y), boost(x, y), isotonic(margin, y))
+        if (fold == k).any():
+            margin[fold == k] = boost(x[fold != k], y[fold != k]).margins(x[fold == k])
+    here = y.mean()
+    weight = np.where(y == 1, share / max(here, 1e-9), (1 - share) / max(1 - here, 1e-9)) if share is not None else None
+    return Model(lexicon(None), boost(x, y), isotonic(margin, y, weight))
 
 
 def held_out(key):
@@ -186,7 +227,8 @@ def held_out(key):
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """Fit on at most ``per_label`` documents of each label outside the held-out fold, by MD5 of the key.
 
-    Null keys, labels and texts are not learnt from; of repeated labels of a key the larger counts.
+    Labels are drawn evenly, so scores are for even odds. Null keys, labels and texts are not learnt
+    from; of repeated labels of a key the larger counts.
     """
     f, g = Frame(docs), Frame(labels)
     ids = g.df.select(F.col(g.at(key)).alias("id"), F.col(g.at(label)).alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
