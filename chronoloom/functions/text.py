@@ -70,7 +70,7 @@ def fenced_json(c: Column) -> Column:
     """JSON inside a reply: a fenced block, else from the first brace to the last, or from the first bracket if it stands before any brace."""
     found = lambda rx: F.nullif(F.regexp_extract(c, rx, 1), F.lit(""))
     listed = F.when(found(r"(?s)^([^{]*\[)").isNotNull(), found(r"(?s)(\[.*\])"))
-    return F.coalesce(F.trim(found(r"(?s)```(?:json)?\s*(.*?)```")), listed, found(r"(?s)(\{.*\})"), found(r"(?s)(\[.*\])"))
+    return F.coalesce(found(r"(?s)```(?:json)?\s*(.*?)\s*```"), listed, found(r"(?s)(\{.*\})"), found(r"(?s)(\[.*\])"))
 
 
 def upto_last_brace(c: Column) -> Column:
