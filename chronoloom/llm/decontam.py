@@ -23,8 +23,9 @@ LEADING = 4
 NONZEROS = 2
 #: Words of a corpus passage when the space is fitted.
 PASSAGE = 32
-#: Words between window starts, and window lengths; an item is matched at the length nearest its own.
-STEP, WINDOWS = 8, (16, 32, 48)
+#: Words summed at once, and window lengths: windows begin every quarter of their length, so any stretch of
+#: that length lies within an eighth of one. An item is matched at the length nearest its own.
+STEP, WINDOWS = 4, (16, 32, 48)
 #: Cosine from which a window is compared with an item word by word.
 COSINE = 0.5
 #: Share of a window's idf weight that must lie on the item's terms before words are compared in order.
@@ -222,7 +223,7 @@ def find_leaks(data: np.ndarray, offs: np.ndarray, probe: Probe) -> list[tuple]:
     near: dict[tuple[int, int], list[tuple[float, int, int]]] = defaultdict(list)
     for size, vectors in probe.vectors.items():
         blocks = size // STEP
-        at = np.flatnonzero((np.arange(len(starts)) - begin[text_of]) % max(1, blocks // 2) == 0)
+        at = np.flatnonzero((np.arange(len(starts)) - begin[text_of]) % max(1, blocks // 4) == 0)
         last = begin[text_of[at] + 1]
         for lo in range(0, len(at), 4096):
             b, stop = at[lo : lo + 4096], last[lo : lo + 4096]
