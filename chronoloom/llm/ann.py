@@ -18,10 +18,10 @@ from .common import Frame, materialise, table
 FIT_ROWS = 20_000
 BRANCH = 8
 #: Vectors of a leaf that the fit aims at, and of a block of a leaf when searching.
-LEAF_ROWS = 1_000
+LEAF_ROWS = 2_000
 BLOCK_ROWS = 4_096
 #: Mean recall that calibration asks of held-out queries.
-RECALL = 0.97
+RECALL = 0.95
 
 
 class Tree:
@@ -155,47 +155,68 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, key: str = "vec_
 
     indexed = materialise(entries.select("v", "h", "ids").mapInArrow(place, "v array<double>, h long, ids array<long>, leaf int"), "leaves")
     sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    # Queries with equal vectors are searched once, under the smallest of their ids.
+    unique = materialise(asked.groupBy("h", "v").agg(F.min("id").alias("q")), "asked")
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = as_matrix(batch.column(1), dim)
             first = [[leaf for _, leaf in zip(range(visits), shared.value.visit(q), strict=False)] for q in x]
-            which = np.repeat(np.arange(len(x)), [len(v) for v in first])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array([leaf for v in first for leaf in v], pa.int32())], names=["h", "v", "leaf"])
+            which = pa.array(np.repeat(np.arange(len(x)), [len(v) for v in first]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array([leaf for v in first for leaf in v], pa.int32())], names=["q", "v", "leaf"])
 
-    # Queries with equal vectors are searched once.
-    unique = asked.select("h", "v").distinct()
-    aimed = unique.mapInArrow(aim, "h long, v array<double>, leaf int").withColumn("part", F.expr(f"cast(pmod(h, greatest(1, {max(1, total // 200_000)})) as int)"))
     parts = max(1, total // 200_000)
-    aimed = aimed.join(sizes, "leaf").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("leaf", "block", "part", "h", "v")
+    aimed = unique.select("q", "v").mapInArrow(aim, "q long, v array<double>, leaf int").withColumn("part", F.expr(f"cast(pmod(xxhash64(q), {parts}) as int)"))
+    aimed = aimed.join(sizes, "leaf").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("leaf", "block", "part", "q", "v")
     stored = indexed.join(sizes, "leaf").withColumn("block", F.expr("cast(pmod(h, blocks) as int)")).withColumn("part", F.explode(F.expr(f"sequence(0, {parts - 1})"))).select("leaf", "block", "part", "v", "ids")
 
     def best(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = {"h": [], "v": [], "vec_id": [], "score": []}
+        out = {"q": [], "leaf": [], "ids": [], "scores": []}
         if len(queries) and len(points):
-            p, q = np.stack(points["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-            ids = points["ids"].to_numpy()
-            keep = min(k + 1, len(p))
-            for lo in range(0, len(q), 512):
-                scores = q[lo : lo + 512] @ p.T
-                cut = np.partition(scores, len(p) - keep, axis=1)[:, len(p) - keep]
-                for i, row in enumerate(scores):
-                    near = np.flatnonzero(row >= cut[i] - 1e-9)
-                    exact = np.einsum("ij,j->i", p[near], q[lo + i])
-                    found = sorted(((-s, int(d)) for s, n in zip(exact, near, strict=True) for d in ids[n]))[: k + 1]
-                    out["h"] += [queries["h"].iat[lo + i]] * len(found)
-                    out["v"] += [queries["v"].iat[lo + i]] * len(found)
-                    out["vec_id"] += [d for _, d in found]
-                    out["score"] += [-s for s, _ in found]
+            ids, scores = nearest(np.stack(queries["v"].to_numpy()), np.stack(points["v"].to_numpy()), points["ids"].to_numpy(), k + 1)
+            out = {"q": queries["q"], "leaf": queries["leaf"], "ids": ids, "scores": scores}
         return pd.DataFrame(out)
 
-    found = aimed.groupBy("leaf", "block", "part").cogroup(stored.groupBy("leaf", "block", "part")).applyInPandas(best, "h long, v array<double>, vec_id long, score double")
-    order = W.partitionBy("h", "v").orderBy(F.desc("score"), "vec_id")
-    short = found.withColumn("n", F.row_number().over(order)).filter(f"n <= {k + 1}").drop("n")
-    lists = short.groupBy("h", "v").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near")).withColumnsRenamed({"h": "n_h", "v": "n_v"})
-    hits = asked.join(lists, (F.col("h") == F.col("n_h")) & (F.col("v") == F.col("n_v")))
-    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k)
-    return hits.select(F.col("id").alias("query_id"), F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    found = aimed.groupBy("leaf", "block", "part").cogroup(stored.groupBy("leaf", "block", "part")).applyInPandas(best, "q long, leaf int, ids array<long>, scores array<double>")
+    # Lists of k + 1 are merged leaf by leaf, then over the leaves; a merged list is no longer than its parts.
+    pairs = F.arrays_zip((F.transform("scores", lambda x: -x)).alias("s"), F.col("ids").alias("i"))
+    merged = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k + 1)
+    per_leaf = found.select("q", "leaf", pairs.alias("near")).groupBy("q", "leaf").agg(merged("near").alias("near"))
+    lists = per_leaf.groupBy("q").agg(merged("near").alias("near"))
+    of = unique.select(F.col("h").alias("u_h"), F.col("v").alias("u_v"), "q").join(lists, "q").drop("q")
+    hits = asked.join(of, (F.col("h") == F.col("u_h")) & (F.col("v") == F.col("u_v")))
+    own = F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k)
+    return hits.select(F.col("id").alias("query_id"), F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def nearest(q: np.ndarray, p: np.ndarray, ids: np.ndarray, keep: int) -> tuple[list, list]:
+    """For every query the ids and exact scores of the ``keep`` best entries, best first, ties to the smaller id; an entry may carry several ids."""
+    first = np.array([x[0] for x in ids])
+    several = np.array([len(x) > 1 for x in ids])
+    top = min(keep, len(p))
+    out_ids, out_scores = [], []
+    for lo in range(0, len(q), 256):
+        part = q[lo : lo + 256]
+        rough = part @ p.T
+        near = np.argpartition(-rough, top - 1, axis=1)[:, :top]
+        cut = np.take_along_axis(rough, near, axis=1).min(axis=1) - 1e-9
+        tied = (rough >= cut[:, None]).sum(axis=1) > top
+        exact = np.einsum("qkd,qd->qk", p[near], part)
+        chosen = first[near]
+        order = np.lexsort((chosen, -exact), axis=1)
+        chosen, exact = np.take_along_axis(chosen, order, axis=1), np.take_along_axis(exact, order, axis=1)
+        plain = ~(tied | several[near].any(axis=1))
+        for i in range(len(part)):
+            if plain[i]:
+                out_ids.append(chosen[i])
+                out_scores.append(exact[i])
+                continue
+            at = np.flatnonzero(rough[i] >= cut[i])
+            score = np.einsum("kd,qd->qk", p[at], part[i : i + 1])[0]
+            rows = sorted((-s, int(d)) for s, n in zip(score, at, strict=True) for d in ids[n])[:keep]
+            out_ids.append(np.array([d for _, d in rows]))
+            out_scores.append(np.array([-s for s, _ in rows]))
+    return out_ids, out_scores
 
 
 def op5_ann(spark, sf_dir: str) -> DataFrame:
