@@ -51,7 +51,9 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     done = hit.filter(F.col("n").isNotNull()).select("uuid", F.when(F.col("n") == 1, F.col("one")).alias("match"), F.when(F.col("n") == 1, "exact").otherwise("ambiguous").alias("how"))
     rest = hit.filter("n is null").select("uuid", "fuzzy").filter(tx.high_entropy(F.col("fuzzy")))
     pairs = candidate_pairs(rest.select(F.col("fuzzy").alias("name")), existing.select("name"))
-    pairs = pairs.withColumn("j", tx.jaccard(F.array_distinct(tx.shingles(F.col("a"))), F.array_distinct(tx.shingles(F.col("b"))))).filter(F.col("j") >= THRESHOLD)
+    sets = lambda df, n, s: df.select(F.col(n).alias(f"{s}n")).distinct().withColumn(s, F.array_distinct(tx.shingles(F.col(f"{s}n"))))
+    pairs = pairs.join(sets(rest, "fuzzy", "sa"), F.col("a") == F.col("san")).join(sets(x, "x_fuzzy", "sb"), F.col("b") == F.col("sbn"))
+    pairs = pairs.select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("j")).filter(F.col("j") >= THRESHOLD)
     least = x.groupBy("x_fuzzy").agg(F.min("m").alias("m"))
     best = pairs.join(least, F.col("b") == F.col("x_fuzzy")).groupBy("a").agg(F.min_by("m", F.struct(-F.col("j"), "m")).alias("m"))
     fuzzy = rest.join(best, F.col("fuzzy") == F.col("a")).select("uuid", F.col("m").alias("match"), F.lit("fuzzy").alias("how"))

@@ -165,8 +165,15 @@ def local_rerank(docs: DataFrame, text: str, *, key: str = "uuid", body: str = "
         if len(t) > 2 and t not in stop:
             tf[t] = tf.get(t, 0) + 1
     toks = docs.select(key, reranker_terms(F.coalesce(F.col(body), F.lit(""))).alias("t"))
-    counts = F.transform(F.array_distinct("t"), lambda x: F.size(F.filter("t", lambda y: y == x)))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)) * F.lit(float(np.sqrt(sum(n * n for n in tf.values()))))
+    # Sum of squared counts in one walk over the sorted terms: the n-th of a run adds 2n - 1.
+    start = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sq"))
+
+    def step(s, x):
+        n = F.when(s["w"] == x, s["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("w"), n.alias("n"), (s["sq"] + 2 * n - 1).alias("sq"))
+
+    squares = F.aggregate(F.array_sort("t"), start, step, lambda s: s["sq"])
+    size = F.sqrt(squares) * F.lit(float(np.sqrt(sum(n * n for n in tf.values()))))
     common = reduce(lambda a, b: a + b, [F.lit(float(n)) * F.size(F.filter("t", equals(q))) for q, n in tf.items()], F.lit(0.0))
     return toks.select(key, F.when(size > 0, common / size).otherwise(0.0).alias("score"))
 
