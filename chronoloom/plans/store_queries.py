@@ -30,18 +30,24 @@ def node_exists(g, spark, d):
     return st.exists(g.nodes(), "S3", "g0")
 
 
-@query("edge_exists", "SELECT count(*) > 0 AS found FROM relates_to WHERE uuid = 'E1-1' AND group_id = 'g0'")
-def edge_exists(g, spark, d):
-    return st.exists(g.relates_to, "E1-1", "g0")
+def edge_ids(g):
+    """Ids of the facts of three orders, and one that does not exist."""
+    rows = g.relates_to.filter(F.get("episodes", F.lit(0)).isin("O1", "O2", "O3")).select("uuid").collect()
+    return [r.uuid for r in rows] + ["none"]
+
+
+_ids = "SELECT uuid FROM relates_to WHERE episodes[1] IN ('O1', 'O2', 'O3')"
 
 
-EDGE_IDS = ["E1-1", "E1-2", "E2-1", "E3-1", "E5-2", "E7-3", "none"]
-_ids = ", ".join(f"'{i}'" for i in EDGE_IDS)
+@query("edge_exists", f"SELECT count(*) > 0 AS found FROM ({_ids})")
+def edge_exists(g, spark, d):
+    return st.exists(g.relates_to, edge_ids(g)[0], "g0")
+
 
 
 @query("get_edges", f"SELECT r.uuid, src, dst, r.name, fact, a.name AS src_name, b.name AS dst_name, {sql_stamp('valid_at')} FROM relates_to r JOIN entity a ON a.uuid = src JOIN entity b ON b.uuid = dst WHERE r.uuid IN ({_ids}) AND r.group_id = 'g0'")
 def get_edges(g, spark, d):
-    return st.get_edges(g.relates_to, g.entity, EDGE_IDS, "g0").select("uuid", "src", "dst", "name", "fact", "src_name", "dst_name", stamp("valid_at"))
+    return st.get_edges(g.relates_to, g.entity, edge_ids(g), "g0").select("uuid", "src", "dst", "name", "fact", "src_name", "dst_name", stamp("valid_at"))
 
 
 @query("get_episodic", f"SELECT uuid, name, source, content, {sql_stamp('valid_at')} FROM episodic WHERE uuid IN ('O1', 'O7', '3-0')")
@@ -122,7 +128,7 @@ def delete_nodes(g, spark, d):
 
 @query("delete_edges", f"SELECT count(*) AS n FROM relates_to WHERE NOT (uuid IN ({_ids}) AND group_id = 'g0')")
 def delete_edges(g, spark, d):
-    return st.delete_edges(g.relates_to, EDGE_IDS, "g0").agg(F.count("*").alias("n"))
+    return st.delete_edges(g.relates_to, edge_ids(g), "g0").agg(F.count("*").alias("n"))
 
 
 @query("clear_group", "SELECT group_id, count(*) AS n FROM entity WHERE group_id <> 'g1' GROUP BY 1")

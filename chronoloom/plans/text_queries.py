@@ -294,3 +294,29 @@ def parse_entity_reply(g, spark, d):
     both = F.concat(F.lit('[{"name": "'), "n_name", F.lit('"}, {"name": "second"}, {"name": " "}]'))
     raw = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit('<think>x</think>{"entities": '), both, F.lit("}"))).when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit('```json\n{"extracted_entities": '), both, F.lit("}\n```"))).when(F.col("n_nationkey") % 4 == 2, both).otherwise(F.concat(F.lit("Entity: \""), "n_name", F.lit("\"\nthe name: second,\nnothing here\nname: x")))
     return n.select("n_nationkey", F.array_join(ing.parse_entity_reply(raw), "/").alias("names"))
+
+
+def _restated(g):
+    """Every returned fact said again a day later under a new id, half of them in other words."""
+    again = g.relates_to.filter("name = 'RETURNED'")
+    other = F.when(F.element_at(F.split("fact", " "), -1).cast("int") % 2 == 0, F.col("fact")).otherwise(F.concat("fact", F.lit(" again")))
+    return again.select(F.concat(F.lit("N"), "uuid").alias("uuid"), "src", "dst", "name", other.alias("fact"), F.expr("valid_at + interval 1 day").alias("valid_at"), F.lit(None).cast("timestamp").alias("invalid_at"), F.lit(None).cast("timestamp").alias("expired_at"), F.array(F.lit("late")).alias("episodes"))
+
+
+@query("resolve_edges", """
+WITH k AS (SELECT uuid, src, dst, name, fact, valid_at, invalid_at FROM relates_to), n AS (SELECT 'N' || uuid AS uuid, src, dst, name, CASE WHEN string_split(fact, ' ')[-1]::INT % 2 = 0 THEN fact ELSE fact || ' again' END AS fact, valid_at + INTERVAL 1 DAY AS valid_at FROM relates_to WHERE name = 'RETURNED'),
+p AS (SELECT n.uuid AS n, k.uuid AS k, n.valid_at AS f, k.valid_at AS kf, k.invalid_at AS kt, lower(n.fact) = lower(k.fact) AS same, n.name = k.name AS rel FROM n JOIN k ON least(n.src, n.dst) = least(k.src, k.dst) AND greatest(n.src, n.dst) = greatest(k.src, k.dst)),
+twin AS (SELECT n, min(k) AS k FROM p WHERE same GROUP BY n), ends AS (SELECT k, min(f) AS e FROM p WHERE NOT same AND rel AND n NOT IN (SELECT n FROM twin) AND kf < f AND (kt IS NULL OR kt >= f) GROUP BY k)
+SELECT state, count(*) AS n, count(invalid_at) AS closed FROM (SELECT CASE WHEN e IS NOT NULL THEN 'closed' WHEN uuid IN (SELECT k FROM twin) THEN 'extended' ELSE 'kept' END AS state, coalesce(e, invalid_at) AS invalid_at FROM k LEFT JOIN ends ON uuid = ends.k UNION ALL SELECT 'new', NULL FROM n WHERE uuid NOT IN (SELECT n FROM twin)) GROUP BY state""")
+def resolve_edges(g, spark, d):
+    from ..operators import resolve
+
+    out = resolve.resolve_edges(_restated(g), g.relates_to)
+    return out.groupBy("state").agg(F.count("*").alias("n"), F.count("invalid_at").alias("closed"))
+
+
+@query("embed_entities")
+def embed_entities(g, spark, d):
+    from ..functions import adapters
+
+    return g.entity.select("uuid", adapters.embedding(F.concat_ws(" ", "name", "summary"), adapters.HashEmbedder(16)).alias("embedding"))

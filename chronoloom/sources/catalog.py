@@ -58,7 +58,7 @@ def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
     s, p = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
     even = F.col("l_linenumber") % 2 == 0
     facts = li.select(
-        F.concat_ws("-", F.concat(F.lit("E"), "l_orderkey"), "l_linenumber").alias("uuid"),
+        F.concat_ws("-", F.concat(F.lit("E"), "l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("uuid"),
         F.when(even, s).otherwise(p).alias("src"),
         F.when(even, p).otherwise(s).alias("dst"),
         F.lit("g0").alias("group_id"),
@@ -91,7 +91,7 @@ SQL_TABLES = {
       UNION ALL SELECT 'C' || c_custkey, c_name, 'g1', 'Customer', TIMESTAMP '2024-01-01' + to_hours(c_custkey), c_mktsegment FROM customer""",
     "episodic": """SELECT 'O' || o_orderkey AS uuid, 'order ' || o_orderkey AS name, 'g0' AS group_id, o_orderpriority AS source, concat_ws(' ', o_orderstatus, o_orderpriority) AS content, o_orderdate::TIMESTAMP AS valid_at, o_orderdate::TIMESTAMP AS created_at FROM orders
       UNION ALL SELECT conv_id || '-' || turn, 'turn ' || turn, role, 'message', coalesce(role, '') || ': ' || coalesce(text, ''), TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn), TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) FROM conversations""",
-    "facts": """SELECT 'E' || l_orderkey || '-' || l_linenumber AS uuid, CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS src,
+    "facts": """SELECT concat_ws('-', 'E' || l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS uuid, CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS src,
         CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS dst, 'g0' AS group_id,
         CASE l_returnflag WHEN 'R' THEN 'RETURNED' WHEN 'A' THEN 'ACCEPTED' ELSE 'OFFERED' END AS name, l_shipdate::TIMESTAMP AS valid_at, ['O' || l_orderkey] AS episodes, l_quantity::INT AS quantity FROM lineitem""",
     "relates_to": """SELECT uuid, src, dst, group_id, name, concat_ws(' ', src, lower(name), dst, 'qty', quantity) AS fact, episodes, valid_at AS created_at, valid_at,
