@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Upper bound on the number of hash or range buckets that one ranking uses.
@@ -30,9 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files."""
+#: Narrow rows that one written part of an intermediate table may hold where the count is known.
+PART_ROWS = 100_000
+
+
+def materialise(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+
+    ``rows``, if an upper bound is known, keeps a small table from being written in as many
+    parts as the session has shuffle partitions; it never makes more parts than there are.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PART_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -77,6 +88,22 @@ def shuffle_key(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts)), 1, 15), 16, 10).cast("long")
 
 
+def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each value of ``by`` (few values), the first in order of a hash of ``key``.
+
+    Counts of the values give each a hash threshold that lets about twice ``n`` rows through, so
+    the rows that are put in order are bounded too, whatever the size of the table.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("n")).collect()
+    share = shuffle_key("sample", F.col(key)) / float(1 << 60)
+    rates = [x for r in counts for x in (F.lit(r[by]), F.lit(min(1.0, (2 * n + 100) / r["n"])))]
+    if not rates:
+        return rows
+    thinned = rows.withColumn("_share", share).filter(F.col("_share") < F.create_map(*rates)[F.col(by)])
+    order = W.partitionBy(by).orderBy("_share", key)
+    return thinned.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n).drop("_share", "_place")
+
+
 def text_buffer(arr) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of an Arrow string array; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -26,7 +26,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         joined = large.join(least, large["a"] == least["k"])
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        edges = materialise(small.filter("a <> b").distinct(), "links")
+        edges = materialise(small.filter("a <> b").distinct(), "links", 2 * state[0])
         now = _state(edges)
         if now == state:
             break

@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, key: str = "doc_id", text:
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-def covering_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def covering_links(distinct: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints of ``distinct`` (fp, rep) within ``radius`` <= 2 bits.
 
     Tables: one for each covering mask, keyed by the masked fingerprint; a pair within the radius
@@ -100,7 +100,7 @@ def covering_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)])
     dealt = distinct.select("fp", "rep", F.explode(tables).alias("x")).select("fp", "rep", "x.t", "x.k")
     size = dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.min(F.struct("fp", "rep")).alias("lo"), F.max(F.struct("fp", "rep")).alias("hi")).filter("n > 1")
-    size = materialise(size, "buckets")
+    size = materialise(size, "buckets", rows and len(masks) * rows // 2)
     twos = size.filter("n = 2").filter(F.bit_count(F.col("lo.fp").bitwiseXOR(F.col("hi.fp"))) <= radius).select(F.col("lo.rep").alias("a"), F.col("hi.rep").alias("b"))
     large = size.filter("n > 2").select(F.col("t").alias("bt"), F.col("k").alias("bk"))
     members = dealt.join(large, (F.col("t") == F.col("bt")) & (F.col("k") == F.col("bk")), "left_semi")
@@ -126,8 +126,9 @@ def near_groups(docs: DataFrame, *, words: int = 3, radius: int = 2, key: str =
     takes part in no minimum. An empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, words=words, key=key, text=text), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")).filter("rep is not null"), "distinct")
-    comps = components(covering_links(distinct, radius)).filter("node <> component")
+    rows = prints.count()
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")).filter("rep is not null"), "distinct", rows)
+    comps = components(covering_links(distinct, radius, rows)).filter("node <> component")
     roots = distinct.join(comps, distinct["rep"] == comps["node"], "left").select(F.col("fp").alias("d_fp"), F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(roots, prints["fp"] == roots["d_fp"], "left")
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
