@@ -8,16 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Frame, slices, table, text_buffer
+from .common import Frame, first_by_hash, slices, table, text_buffer
 from .tokens import BASE, INVERSE, find_words, powers
 
 #: The public vocabulary; a parameter of every function that reads it.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Training documents of a language, at most (in order of their ids' MD5).
+#: Training documents of a language, at most (in order of a hash of their ids).
 PER_LANGUAGE = 400
 #: Longest piece and longest word part, in bytes. A longer word is scored as a chain of parts.
 PIECE_BYTES = 10
@@ -230,14 +229,14 @@ def held_out(key) -> "F.Column":
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, vocabulary: str = VOCABULARY) -> Model:
-    """Fit on at most ``per_language`` labelled documents a language, outside the held-out fold, chosen by MD5 of the key.
+    """Fit on at most ``per_language`` labelled documents a language, outside the held-out fold, chosen by a hash of the key.
 
     Ids are chosen before any text is read; the chosen texts are whole. Null keys, languages and texts are not learnt from.
     """
     f = Frame(docs)
     k, lab = F.col(f.at(key)), F.col(f.at(lang))
     ids = f.df.select(k.alias("id"), lab.alias("lang")).filter("id is not null and lang is not null").filter(~held_out(F.col("id"))).distinct()
-    ids = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id"))).filter(f"n <= {per_language}")
+    ids = first_by_hash(ids, "lang", "id", per_language)
     chosen = f.df.select(k.alias("id"), lab.alias("lang"), F.col(f.at(text)).cast("string").alias("text")).filter("text is not null").join(F.broadcast(ids.select("id", "lang")), ["id", "lang"])
     texts: dict[str, list[str]] = {}
     for row in chosen.select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")]).to_pylist():

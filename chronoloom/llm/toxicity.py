@@ -8,14 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, boost, isotonic
-from .common import Frame, slices, table, text_buffer
+from .common import Frame, first_by_hash, slices, table, text_buffer
 from .tokens import BASE, INVERSE, Words, find_words, mixed, powers, word_hashes
 
-#: Labelled documents of each label that the model learns from, at most (in order of their ids' MD5).
+#: Labelled documents of each label that the model learns from, at most (in order of a hash of their ids).
 PER_LABEL = 2_000
 FOLDS, HELD_OUT = 5, 0
 #: Fixed seed insults; the lexicon learnt from the training rows is added to them.
@@ -225,17 +224,16 @@ def held_out(key):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """Fit on at most ``per_label`` documents of each label outside the held-out fold, by MD5 of the key.
+    """Fit on at most ``per_label`` documents of each label outside the held-out fold, by a hash of the key.
 
     Labels are drawn evenly, so scores are for even odds. Null keys, labels and texts are not learnt
     from; of repeated labels of a key the larger counts.
     """
     f, g = Frame(docs), Frame(labels)
     ids = g.df.select(F.col(g.at(key)).alias("id"), F.col(g.at(label)).alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    order = F.md5(F.col("id").cast("string"))
-    ids = ids.filter(~held_out(F.col("id"))).withColumn("n", F.row_number().over(W.partitionBy("y").orderBy(order, "id"))).filter(f"n <= {per_label}").select("id", "y")
+    ids = first_by_hash(ids.filter(~held_out(F.col("id"))), "y", "id", per_label)
     chosen = f.df.select(F.col(f.at(key)).alias("id"), F.col(f.at(text)).cast("string").alias("text")).filter("text is not null").join(F.broadcast(ids), "id")
-    got = chosen.select(order.alias("o"), "text", "y").toArrow().sort_by([("o", "ascending"), ("text", "ascending")])
+    got = chosen.select(F.md5(F.col("id").cast("string")).alias("o"), "text", "y").toArrow().sort_by([("o", "ascending"), ("text", "ascending")])
     return fit(got["text"].to_pylist(), np.array(got["y"].to_pylist(), float))
 
 
