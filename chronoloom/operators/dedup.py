@@ -39,10 +39,33 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, (F.col("band") == F.col("rb")) & (F.col("value") == F.col("rv"))).select(F.col("uuid").alias("a"), "b").distinct()
 
 
+def similar_names(left: DataFrame, right: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """(a, b, j) of normalised names (column n) whose shingle similarity is ``least`` or more.
+
+    Prefix filtering: of n shingles in order of rarity, two sets that alike must share one of the first
+    n - ceil(least * n) + 1. So names that differ only in a number meet through the rare shingles
+    that hold it, not through the common ones. Nothing is lost.
+    """
+    sets = lambda df: df.select("n").distinct().withColumn("s", F.array_distinct(tx.shingles(F.col("n")))).filter(F.size("s") > 0)
+    l, r = sets(left), sets(right)  # noqa: E741
+    every = l.select(F.explode("s").alias("g")).unionByName(r.select(F.explode("s").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        long = df.select("n", "s", F.explode("s").alias("x")).join(every, F.col("x") == F.col("g"))
+        ordered = long.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"), F.first("s").alias("s"))
+        keep = F.size("o") - F.ceil(F.size("o") * F.lit(least) - 1e-9).cast("int") + 1
+        return ordered.select("n", "s", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("n", "s", F.col("p.x").alias("p"))
+
+    x = prefixes(l).select(F.col("n").alias("a"), F.col("s").alias("sa"), F.col("p").alias("pa"))
+    y = prefixes(r).select(F.col("n").alias("b"), F.col("s").alias("sb"), F.col("p").alias("pb"))
+    pairs = x.join(y, F.col("pa") == F.col("pb")).select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("j"))
+    return pairs.filter(F.col("j") >= least).distinct()
+
+
 def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     """(uuid, match, how): exact when one existing node has the normalised name, ``ambiguous`` when several do, else the best fuzzy match.
 
-    Fuzzy matches need a name of high entropy and shingle similarity of 0.9; ties go to the smaller id.
+    Fuzzy matches need a name of high entropy, shingle similarity of 0.9 and a common min-hash band; ties go to the smaller id.
     """
     e = extracted.select("uuid", tx.normalise_exact(F.col("name")).alias("exact"), tx.normalise_fuzzy(F.col("name")).alias("fuzzy"))
     x = existing.select(F.col("uuid").alias("m"), tx.normalise_exact(F.col("name")).alias("x_exact"), tx.normalise_fuzzy(F.col("name")).alias("x_fuzzy"))
@@ -50,10 +73,11 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     hit = e.join(names, F.col("exact") == F.col("x_exact"), "left")
     done = hit.filter(F.col("n").isNotNull()).select("uuid", F.when(F.col("n") == 1, F.col("one")).alias("match"), F.when(F.col("n") == 1, "exact").otherwise("ambiguous").alias("how"))
     rest = hit.filter("n is null").select("uuid", "fuzzy").filter(tx.high_entropy(F.col("fuzzy")))
-    pairs = candidate_pairs(rest.select(F.col("fuzzy").alias("name")), existing.select("name"))
-    sets = lambda df, n, s: df.select(F.col(n).alias(f"{s}n")).distinct().withColumn(s, F.array_distinct(tx.shingles(F.col(f"{s}n"))))
-    pairs = pairs.join(sets(rest, "fuzzy", "sa"), F.col("a") == F.col("san")).join(sets(x, "x_fuzzy", "sb"), F.col("b") == F.col("sbn"))
-    pairs = pairs.select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("j")).filter(F.col("j") >= THRESHOLD)
+    pairs = similar_names(rest.select(F.col("fuzzy").alias("n")), x.select(F.col("x_fuzzy").alias("n")))
+    involved = pairs.select(F.col("a").alias("uuid")).unionByName(pairs.select(F.col("b").alias("uuid"))).distinct().withColumn("name", F.col("uuid"))
+    keys = bands(minhash(involved)).groupBy("uuid").agg(F.collect_set(F.concat_ws(":", "band", "value")).alias("keys"))
+    ka, kb = keys.select(F.col("uuid").alias("ua"), F.col("keys").alias("ka")), keys.select(F.col("uuid").alias("ub"), F.col("keys").alias("kb"))
+    pairs = pairs.join(ka, F.col("a") == F.col("ua")).join(kb, F.col("b") == F.col("ub")).filter(F.arrays_overlap("ka", "kb")).select("a", "b", "j")
     least = x.groupBy("x_fuzzy").agg(F.min("m").alias("m"))
     best = pairs.join(least, F.col("b") == F.col("x_fuzzy")).groupBy("a").agg(F.min_by("m", F.struct(-F.col("j"), "m")).alias("m"))
     fuzzy = rest.join(best, F.col("fuzzy") == F.col("a")).select("uuid", F.col("m").alias("match"), F.lit("fuzzy").alias("how"))

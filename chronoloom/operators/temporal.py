@@ -57,9 +57,17 @@ def parse_time(text: Column) -> Column:
 
 
 def previous_within(episodes: DataFrame, hours: int = 24) -> DataFrame:
-    """(uuid, previous): how many episodes of the group began in the hours before each one."""
-    w = W.partitionBy("group_id").orderBy(F.unix_timestamp("valid_at")).rangeBetween(-hours * 3600, -1)
-    return episodes.select("uuid", F.count("uuid").over(w).alias("previous"))
+    """(uuid, previous): how many episodes of the group began in the hours before each one.
+
+    Rows are counted within spans of that many hours, each row standing in its own span and, for
+    others to see, in the next; so a busy group is split by time and never meets in one task.
+    """
+    width = hours * 3600
+    at = F.unix_timestamp("valid_at")
+    span = F.floor(at / width)
+    rows = episodes.select("uuid", "group_id", at.alias("at"), F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("x"))
+    w = W.partitionBy("group_id", "x.span").orderBy("at").rangeBetween(-width, -1)
+    return rows.withColumn("previous", F.count("*").over(w)).filter("x.own").select("uuid", "previous")
 
 
 def context_of(episodes: DataFrame, last: int = 10) -> DataFrame:
