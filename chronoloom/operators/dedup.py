@@ -73,7 +73,9 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     hit = e.join(names, F.col("exact") == F.col("x_exact"), "left")
     done = hit.filter(F.col("n").isNotNull()).select("uuid", F.when(F.col("n") == 1, F.col("one")).alias("match"), F.when(F.col("n") == 1, "exact").otherwise("ambiguous").alias("how"))
     rest = hit.filter("n is null").select("uuid", "fuzzy").filter(tx.high_entropy(F.col("fuzzy")))
-    pairs = similar_names(rest.select(F.col("fuzzy").alias("n")), x.select(F.col("x_fuzzy").alias("n")))
+    ensure_checkpoint_dir(extracted.sparkSession)
+    # Used three times below: written once to the shared folder.
+    pairs = similar_names(rest.select(F.col("fuzzy").alias("n")), x.select(F.col("x_fuzzy").alias("n"))).checkpoint()
     involved = pairs.select(F.col("a").alias("uuid")).unionByName(pairs.select(F.col("b").alias("uuid"))).distinct().withColumn("name", F.col("uuid"))
     keys = bands(minhash(involved)).groupBy("uuid").agg(F.collect_set(F.concat_ws(":", "band", "value")).alias("keys"))
     ka, kb = keys.select(F.col("uuid").alias("ua"), F.col("keys").alias("ka")), keys.select(F.col("uuid").alias("ub"), F.col("keys").alias("kb"))
