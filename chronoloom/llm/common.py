@@ -104,6 +104,11 @@ def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return thinned.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n).drop("_share", "_place")
 
 
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null, so joins and windows on it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def text_buffer(arr) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of an Arrow string array; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

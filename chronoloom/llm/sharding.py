@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Frame, buckets_for, shuffle_key, table
+from .common import Frame, buckets_for, shuffle_key, source_key, table
 
 SEED = "interleave-1"
 
@@ -18,7 +18,8 @@ def interleave(docs: DataFrame, shards: int = 8, *, seed: str = SEED, key: str =
     rank (rank - 1/2) / (rows of the source) and cut into runs of equal length, so shard
     sizes are at most one row apart (the ``rows`` law). Ranks come from hash buckets with
     prefix sums and positions from range buckets with prefix sums; no task ever holds
-    more than one bucket of a source, however large the source is.
+    more than one bucket of a source, however large the source is. Positions are worked out
+    on ids and sources alone; whole rows are shuffled once.
 
     Returns ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``law``, ``shard``, ``slot``
     (gapless from 0) and ``grown_shard`` (null under this law), after the input columns
@@ -30,37 +31,36 @@ def interleave(docs: DataFrame, shards: int = 8, *, seed: str = SEED, key: str =
     f = Frame(docs)
     rows = docs.count()
     n_buckets = buckets_for(rows)
-    ident = f.df.select(F.col(f.at(source)).alias("src"), F.col(f.at(key)).alias("id"))
     hashed = shuffle_key(seed, F.col("id"))
     bucket = F.shiftright(F.col("r"), 60 - (n_buckets.bit_length() - 1))
+    ident = f.df.select(source_key(F.col(f.at(source))).alias("src"), F.col(f.at(source)).isNull().alias("last"), F.col(f.at(key)).alias("id")).withColumn("r", hashed).withColumn("b", bucket)
 
     # Rows of each (source, hash bucket), and how many of the source stand before it.
-    counts = ident.select("src", hashed.alias("r")).select("src", bucket.alias("b")).groupBy("src", "b").agg(F.count("*").alias("n"))
+    counts = ident.groupBy("src", "b").agg(F.count("*").alias("n"))
     before = W.partitionBy("src").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(F.col("src").alias("o_src"), F.col("b").alias("o_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"), F.sum("n").over(W.partitionBy("src")).alias("n_src"))
 
-    def ranked(df: DataFrame, *order: str) -> DataFrame:
-        df = df.withColumn("r", hashed).withColumn("b", bucket)
-        df = df.join(offsets, df["src"].eqNullSafe(F.col("o_src")) & (df["b"] == F.col("o_b"))).drop("o_src", "o_b")
-        rank = F.col("off") + F.row_number().over(W.partitionBy("src", "b").orderBy("r", "id", *order))
-        df = df.withColumn("rank", rank)
-        # Integer arithmetic: the range bucket of (rank - 1/2) / n_src.
-        return df.withColumn("g", F.expr(f"((2 * rank - 1) * {n_buckets}L) div (2 * n_src)"))
-
-    # How many rows fall in each range bucket does not depend on ties: no text is read here.
-    heights = ranked(ident).groupBy("g").agg(F.count("*").alias("n"))
+    # Ids alone fix which ranks fall where: g is the range bucket of (rank - 1/2) / n_src, in whole numbers.
+    ranked = ident.join(offsets, (F.col("src") == F.col("o_src")) & (F.col("b") == F.col("o_b")))
+    ranked = ranked.withColumn("rank", F.col("off") + F.row_number().over(W.partitionBy("src", "b").orderBy("r", "id")))
+    ranked = ranked.select("src", "last", "b", "rank", "n_src", F.expr(f"((2 * rank - 1) * {n_buckets}L) div (2 * n_src)").alias("g"))
+    heights = ranked.groupBy("g").agg(F.count("*").alias("n"))
     starts = heights.select(F.col("g").alias("s_g"), F.coalesce(F.sum("n").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = W.partitionBy("g").orderBy((2 * F.col("rank") - 1) / (2 * F.col("n_src")), "last", "src", "rank")
+    placed = ranked.join(starts, F.col("g") == F.col("s_g")).withColumn("pos", F.col("start") + F.row_number().over(within) - 1)
+    # The positions of a bucket's rows, in order of rank; a bucket is bounded, and the rows themselves move once, to their bucket.
+    slots = placed.groupBy(F.col("src").alias("p_src"), F.col("b").alias("p_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"]).alias("positions"))
 
     body = f.df.select(
         *([F.struct("*").alias("row")] if carry else []),
-        F.col(f.at(source)).alias("src"),
+        source_key(F.col(f.at(source))).alias("src"),
         F.col(f.at(key)).alias("id"),
         (F.coalesce(F.octet_length(f.at(text)), F.lit(0)) + 1).cast("long").alias("sz"),
         F.coalesce(F.crc32(f.at(text)), F.lit(0)).cast("long").alias("crc"),
-    )
-    placed = ranked(body, "crc", "sz").join(starts, F.col("g") == F.col("s_g"))
-    within = W.partitionBy("g").orderBy((2 * F.col("rank") - 1) / (2 * F.col("n_src")), F.col("src").asc_nulls_last(), "rank")
-    placed = placed.withColumn("pos", F.col("start") + F.row_number().over(within) - 1)
+    ).withColumn("r", hashed).withColumn("b", bucket)
+    here = body.join(slots, (F.col("src") == F.col("p_src")) & (F.col("b") == F.col("p_b")))
+    nth = F.row_number().over(W.partitionBy("src", "b").orderBy("r", "id", "crc", "sz"))
+    placed = here.withColumn("nth", nth).withColumn("pos", F.element_at("positions", F.col("nth")))
     total = max(rows, 1)
     shard = F.expr(f"(pos * {shards}L) div {total}L")
     first = F.expr(f"(((pos * {shards}L) div {total}L) * {total}L + {shards - 1}L) div {shards}L")
