@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Frame, buckets_for, materialise, shuffle_key, table
+from .common import Frame, buckets_for, materialise, shuffle_key, source_key, table
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -56,8 +56,8 @@ def schedule(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: float
     per = materialise(slim.groupBy("src", "b").agg(F.sum("sz").alias("n")), "mix-sums")
     targets = materialise(source_targets(per.groupBy("src").agg(F.sum("n").alias("s")), weights, share, most), "mix-targets")
     before = W.partitionBy("src").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per.select(F.col("src").alias("o_src"), F.col("b").alias("o_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    offsets = offsets.join(targets.withColumnRenamed("src", "t_src"), F.col("o_src").eqNullSafe(F.col("t_src"))).drop("t_src")
+    offsets = per.select(F.col("src").alias("o_src"), source_key(F.col("src")).alias("o_key"), F.col("b").alias("o_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    offsets = offsets.join(targets.withColumnRenamed("src", "t_src"), F.col("o_src").eqNullSafe(F.col("t_src"))).drop("t_src", "o_src")
     top = targets.agg(F.max(F.lit(float(most)) * F.col("s") / F.col("w")).alias("v"), (F.sum("s") * F.lit(float(share))).alias("budget")).head()
     if not top or not top["v"]:
         return slim, offsets, None
@@ -78,8 +78,9 @@ def schedule(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: float
 
 def finished(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Add each row's running words within its source (``cum``) and the source's size, weight and target."""
-    rows = rows.join(offsets, rows["src"].eqNullSafe(F.col("o_src")) & (rows["b"] == F.col("o_b"))).drop("o_src", "o_b")
-    order = W.partitionBy("src", "b").orderBy("r", "id", "sz").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("key", source_key(F.col("src")))
+    rows = rows.join(offsets, (F.col("key") == F.col("o_key")) & (F.col("b") == F.col("o_b"))).drop("o_key", "o_b")
+    order = W.partitionBy("key", "b").orderBy("r", "id", "sz").rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("cum", F.col("off") + F.sum("sz").over(order))
 
 
