@@ -19,6 +19,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 6
 #: Agreement of signatures below which a pair is not compared exactly: 2.4 standard errors under the threshold.
 PRECHECK = 0.7
+#: Buckets of up to so many members are compared pair by pair after the pivots; members of larger ones meet through rare shingles.
+PAIRED = 32
 
 _rng = np.random.default_rng(2024)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,6 +69,45 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "rep bigint, shingles array<int>")
 
 
+def unconnected_pairs(members: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different groups that share a bucket (rep, t, k) and may be similar; ``groups`` (node, component) tells what is connected already.
+
+    Only buckets of more than one group are open. Up to PAIRED members are compared pair by pair, larger ones by ``rare_pairs``.
+    """
+    grouped = materialise(members.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "t", "k", F.coalesce("component", "rep").alias("g")), "grouped")
+    still = grouped.groupBy(F.col("t").alias("ot"), F.col("k").alias("ok")).agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi")
+    still = materialise(grouped.join(still.select("ot", "ok", "n"), (F.col("t") == F.col("ot")) & (F.col("k") == F.col("ok"))).select("rep", "t", "k", "g", "n"), "open")
+    x = still.filter(F.col("n") <= PAIRED).select("t", "k", F.col("rep").alias("a"), F.col("g").alias("ga"))
+    y = x.select(F.col("t").alias("ty"), F.col("k").alias("ky"), F.col("a").alias("b"), F.col("ga").alias("gb"))
+    few = x.join(y, (F.col("t") == F.col("ty")) & (F.col("k") == F.col("ky")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b")
+    return few.unionByName(rare_pairs(still.filter(F.col("n") > PAIRED).select("rep", "g").distinct(), sets, similarity)).distinct()
+
+
+def rare_pairs(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different groups among ``docs`` (rep, g) that may be similar, none left out: a prefix-filter join.
+
+    Shingles stand in order of their number of documents. The first one that a similar pair shares lies early in
+    both: from its place on, either still holds the overlap that their sizes ask for. A pair of different groups has
+    a member outside the shingle's largest group, so only those meet all others.
+    """
+    held = docs.join(sets.withColumnRenamed("rep", "s_rep"), F.col("rep") == F.col("s_rep")).select("rep", "g", F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
+    held = materialise(held, "held")
+    counts = held.groupBy(F.col("s").alias("cs")).agg(F.count("*").alias("n"))
+    lists = held.join(counts, F.col("s") == F.col("cs")).groupBy("rep", "g", "m").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x"))
+    probe = F.col("m") - F.ceil(similarity * F.col("m") - 1e-9) + 1
+    early = lists.select("rep", "g", "m", F.posexplode(F.slice("x", 1, probe.cast("int"))).alias("i", "x")).select("rep", "g", "m", "i", F.col("x.s").alias("s"), F.col("x.n").alias("n")).filter("n > 1").drop("n")
+    early = materialise(early, "early")
+    sizes = early.groupBy("s", "g").agg(F.count("*").alias("n")).groupBy(F.col("s").alias("hs")).agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("gs")).filter("gs > 1").drop("gs")
+    early = materialise(early.join(sizes, F.col("s") == F.col("hs")).select("rep", "g", "m", "i", "s", (F.col("g") != F.col("main")).alias("stray")), "early")
+    x = early.filter(F.col("i") <= F.col("m") - F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9))
+    y = early.toDF(*[f"y_{c}" for c in early.columns])
+    asked = similarity / (1 + similarity) * (F.col("m") + F.col("y_m")) - 1e-9
+    meets = (F.col("s") == F.col("y_s")) & (F.col("g") != F.col("y_g")) & (F.col("m") <= F.col("y_m")) & (F.col("m") >= similarity * F.col("y_m") - 1e-9)
+    meets = meets & (F.least(F.col("m") - F.col("i"), F.col("y_m") - F.col("y_i")) >= asked) & (F.col("rep") != F.col("y_rep"))
+    both = x.filter("stray").join(y, meets).unionByName(x.filter("not stray").join(y.filter("y_stray"), meets))
+    return both.select(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, radius: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every document, rep being the smallest id of equal word sequences, and links (a, b) between reps.
 
@@ -74,7 +115,8 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
     bucket's pivot, the member whose other buckets are fullest (the original among its copies).
     Every candidate is checked exactly by Jaccard similarity of word shingles. Members that a pivot does not
     match go on to the next round with a pivot of their own, until a round links nothing more; so a
-    bucket of any size takes linear work a round and is never gathered.
+    large group of copies takes linear work. Then all pairs of a bucket that are not yet connected are compared
+    (``unconnected_pairs``), those of large buckets as far as they can be similar by their rare shingles.
     """
     f = Frame(docs)
     made = materialise(sketches(docs, key, text, words), "sketches")
@@ -85,9 +127,9 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
     own = materialise(made.join(rep_ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "bands", "sig"), "own")
     sim = covering_links(own.groupBy("fp").agg(F.min("rep").alias("rep")), radius)
     same = own.join(own.groupBy("fp").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("fp", "s_fp"), F.col("fp") == F.col("s_fp")).filter("rep <> a").select("a", F.col("rep").alias("b"))
-    dealt = own.select("rep", F.posexplode("bands").alias("t", "k"))
-    full = dealt.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"t": "ft", "k": "fk"})
-    members = dealt.join(full, (F.col("t") == F.col("ft")) & (F.col("k") == F.col("fk"))).select("rep", "t", "k", "n")
+    spread = own.select("rep", F.posexplode("bands").alias("t", "k"))
+    full = spread.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"t": "ft", "k": "fk"})
+    members = spread.join(full, (F.col("t") == F.col("ft")) & (F.col("k") == F.col("fk"))).select("rep", "t", "k", "n")
     members = materialise(members, "members")
     popular = members.groupBy("rep").agg(F.sum("n").alias("pop")).withColumnRenamed("rep", "p_rep")
     members = materialise(members.join(popular, F.col("rep") == F.col("p_rep")).select("rep", "t", "k", "pop"), "members")
@@ -108,6 +150,7 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
         return exact.filter((common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)) | ((F.size("sa") == 0) & (F.size("sb") == 0))).select("a", "b")
 
     links = materialise(checked(first), "links")
+    dealt = members
     while True:
         pivots = members.groupBy("t", "k").agg(F.max(F.struct(F.col("pop"), (-F.col("rep")).alias("neg"))).alias("top"), F.count("*").alias("n")).filter("n > 1")
         pivots = pivots.select(F.col("t").alias("pt"), F.col("k").alias("pk"), (-F.col("top.neg")).alias("pivot"))
@@ -115,9 +158,12 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
         pairs = rest.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         found = materialise(checked(pairs), "links")
         if found.isEmpty():
-            return members_of, links
+            break
         links = links.unionByName(found)
         members = materialise(rest.join(found, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("rep", "t", "k", "pop"), "members")
+    groups = components(links)
+    pairs = materialise(unconnected_pairs(dealt.select("rep", "t", "k"), groups, sets, similarity), "pairs")
+    return members_of, groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(materialise(checked(pairs), "links"))
 
 
 def duplicate_ids(docs: DataFrame, **options) -> DataFrame:

@@ -66,6 +66,30 @@ def test_a_large_group_of_near_copies(spark):
     assert not any(d >= 1000 for d in got)
 
 
+def templated(n, pairs, seed=11):
+    """``n`` documents on one template, below the threshold to each other, of which ``pairs`` have a near copy."""
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    common = [word() for _ in range(243)]
+    texts = [common + [word() for _ in range(33)] for _ in range(n)]
+    for i in range(pairs):
+        copy = list(texts[i])
+        for k in (40, 90, 140, 190, 255):
+            copy[k] = word()
+        texts.append(copy)
+    rng.shuffle(texts)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def test_near_copies_among_unlike_documents_of_one_template(spark):
+    docs = templated(600, 200)
+    want = plain_groups(docs)
+    assert sum(d != c for d, c in want.items()) == 200
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.id: r.component for r in neardup.duplicate_ids(df).collect()}
+    assert {d: got.get(d, d) for d in docs} == want
+
+
 def test_odd_rows_keep_one(spark):
     rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "A b c\nd e f", 2), (3, None, 3), (4, " ", 4), (None, "a b c d e f", 5), (5, "zzz", 6), (6, "y " * 50_000, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rep int")
