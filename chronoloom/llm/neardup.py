@@ -17,8 +17,6 @@ from .simhash import LOWER, covering_links, fingerprint, shingle_digests, signed
 WORDS, SIMILARITY = 5, 0.8
 #: Min-hash bands and rows of a band: at similarity 0.8 a pair shares one of 16 bands of 6 with probability 0.992, at 0.85 with 0.9995.
 BANDS, ROWS = 16, 6
-#: Agreement of signatures below which a pair is not compared exactly: 2.4 standard errors under the threshold.
-PRECHECK = 0.7
 #: Buckets of up to so many members are compared pair by pair after the pivots; members of larger ones meet through rare shingles.
 PAIRED = 32
 
@@ -35,8 +33,13 @@ def signature(digests: np.ndarray) -> np.ndarray:
     return low
 
 
+def distinct(digests: np.ndarray) -> np.ndarray:
+    """The distinct shingle hashes, 32 bits each."""
+    return np.unique(digests[:, :4].copy().view(np.int32))
+
+
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, d1, d2, fp, bands, sig): digest of the word sequence, SimHash, band keys and a 32-bit signature."""
+    """(id, d1, d2, fp, bands, m): digest of the word sequence, SimHash, band keys and number of distinct shingles (by 32 bits)."""
     f = Frame(docs)
     slim = f.df.select(F.col(f.at(key)).cast("long").alias("id"), F.col(f.at(text)).cast("string").alias("text")).filter("id is not null")
 
@@ -50,12 +53,12 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 digests = shingle_digests(t, words)
                 low = signature(digests)
                 bands = [signed(xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b)) for b in range(BANDS)]
-                rows.append((int(d[0]), int(d[1]), signed(fingerprint(digests)), bands, (low >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                rows.append((int(d[0]), int(d[1]), signed(fingerprint(digests)), bands, len(distinct(digests))))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "d1", "d2", "fp", "bands", "sig"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "d1", "d2", "fp", "bands", "m"])
 
-    return slim.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, fp bigint, bands array<bigint>, sig array<int>")
+    return slim.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, fp bigint, bands array<bigint>, m int")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -63,7 +66,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_digests(t.as_py(), words)[:, :4].copy().view(np.int32)) if t.is_valid and t.as_py() else np.zeros(0, np.int32) for t in batch.column(1)]
+            sets = [distinct(shingle_digests(t.as_py(), words)) if t.is_valid and t.as_py() else np.zeros(0, np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["rep", "shingles"])
 
     return docs.mapInArrow(run, "rep bigint, shingles array<int>")
@@ -124,7 +127,7 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
     labelled = made.select("id", "d1", "d2").join(reps, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")))
     members_of = materialise(labelled.select("id", "rep").distinct(), "reps")
     rep_ids = members_of.filter("id = rep").select("rep").distinct()
-    own = materialise(made.join(rep_ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "bands", "sig"), "own")
+    own = materialise(made.join(rep_ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "bands", "m"), "own")
     sim = covering_links(own.groupBy("fp").agg(F.min("rep").alias("rep")), radius)
     same = own.join(own.groupBy("fp").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("fp", "s_fp"), F.col("fp") == F.col("s_fp")).filter("rep <> a").select("a", F.col("rep").alias("b"))
     spread = own.select("rep", F.posexplode("bands").alias("t", "k"))
@@ -137,13 +140,13 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
     involved = members.select("rep").unionByName(first.select(F.col("a").alias("rep"))).unionByName(first.select(F.col("b").alias("rep"))).distinct().withColumnRenamed("rep", "i_rep")
     texts = f.df.select(F.col(f.at(key)).cast("long").alias("rep"), F.col(f.at(text)).cast("string").alias("text")).join(involved, F.col("rep") == F.col("i_rep"), "left_semi")
     sets = materialise(shingle_sets(texts, words), "sets").dropDuplicates(["rep"])
-    sigs = own.select("rep", "sig")
+    sizes = own.select("rep", "m")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        a, b = sigs.select(F.col("rep").alias("ra"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("rb"), F.col("sig").alias("sb"))
+        a, b = sizes.select(F.col("rep").alias("ra"), F.col("m").alias("ma")), sizes.select(F.col("rep").alias("rb"), F.col("m").alias("mb"))
         close = pairs.join(a, F.col("a") == F.col("ra")).join(b, F.col("b") == F.col("rb"))
-        agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        close = close.filter(agree >= PRECHECK * BANDS * ROWS).select("a", "b")
+        # Sets of sizes further apart cannot be similar: exact, nothing is lost.
+        close = close.filter(F.least("ma", "mb") >= similarity * F.greatest("ma", "mb") - 1e-9).select("a", "b")
         a, b = sets.select(F.col("rep").alias("ra"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("rb"), F.col("shingles").alias("sb"))
         exact = close.join(a, F.col("a") == F.col("ra")).join(b, F.col("b") == F.col("rb"))
         common = F.size(F.array_intersect("sa", "sb"))

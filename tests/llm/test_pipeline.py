@@ -90,6 +90,22 @@ def test_near_copies_among_unlike_documents_of_one_template(spark):
     assert {d: got.get(d, d) for d in docs} == want
 
 
+def test_pairs_whose_signatures_agree_too_little_by_chance(spark):
+    rng = random.Random(17)
+    docs = {}
+    while len(docs) < 10:
+        base = [f"u{rng.randrange(10**9)}" for _ in range(186)]
+        copy = list(base)
+        for k in (30, 70, 110, 150):
+            copy[k] = f"u{rng.randrange(10**9)}"
+        x, y = (neardup.signature(shingle_digests(" ".join(t), 5)) for t in (base, copy))
+        same = (x == y).reshape(neardup.BANDS, neardup.ROWS)
+        if same.mean() < 0.7 and same.all(axis=1).any():
+            docs |= {len(docs): " ".join(base), len(docs) + 1: " ".join(copy)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.id: r.component for r in neardup.duplicate_ids(df).collect()} == {d: d - 1 for d in docs if d % 2}
+
+
 def test_odd_rows_keep_one(spark):
     rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "A b c\nd e f", 2), (3, None, 3), (4, " ", 4), (None, "a b c d e f", 5), (5, "zzz", 6), (6, "y " * 50_000, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rep int")
