@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Frame, materialise
 from .graphs import components
-from .simhash import LOWER, covering_links, fingerprint, shingle_digests, signed
+from .simhash import LOWER, covering_groups, fingerprint, shingle_digests, signed
 
 WORDS, SIMILARITY = 5, 0.8
 #: Min-hash bands and rows of a band: at similarity 0.8 a pair shares one of 16 bands of 6 with probability 0.992, at 0.85 with 0.9995.
@@ -72,6 +72,20 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "rep bigint, shingles array<int>")
 
 
+def simhash_buckets(own: DataFrame, radius: int) -> DataFrame:
+    """Buckets (rep, t, k) in which every two rows of ``own`` (rep, fp) whose fingerprints differ in at most ``radius`` bits meet."""
+    firsts = own.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
+    firsts = materialise(firsts, "firsts")
+    twos, groups = covering_groups(firsts.select("fp", "rep"), radius)
+    sets = twos.select(F.sort_array(F.array("a", "b")).alias("reps")).unionByName(groups.select(F.sort_array("reps").alias("reps"))).distinct()
+    near = sets.select(F.lit(-1).alias("t"), F.xxhash64("reps").alias("k"), F.explode("reps").alias("a"))
+    # A fingerprint's first document stands for all that have it.
+    of = own.select("rep", F.col("fp").alias("o_fp")).join(firsts.select("fp", F.col("rep").alias("first")), F.col("o_fp") == F.col("fp")).select("rep", "first")
+    near = near.join(of, F.col("a") == F.col("first")).select("rep", "t", "k")
+    equal = own.join(firsts.filter("n > 1").select(F.col("fp").alias("e_fp")), F.col("fp") == F.col("e_fp"), "left_semi").select("rep", F.lit(-2).alias("t"), F.col("fp").alias("k"))
+    return materialise(near.unionByName(equal), "simhash")
+
+
 def unconnected_pairs(members: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a < b, of different groups that share a bucket (rep, t, k) and may be similar; ``groups`` (node, component) tells what is connected already.
 
@@ -114,8 +128,8 @@ def rare_pairs(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, radius: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every document, rep being the smallest id of equal word sequences, and links (a, b) between reps.
 
-    Candidates: covering-LSH links of the SimHashes, and documents that share a min-hash band with a
-    bucket's pivot, the member whose other buckets are fullest (the original among its copies).
+    Candidates share a bucket: a min-hash band, a SimHash, or a covering-LSH group of SimHashes. They meet the
+    bucket's pivot first, the member whose other buckets are fullest (the original among its copies).
     Every candidate is checked exactly by Jaccard similarity of word shingles. Members that a pivot does not
     match go on to the next round with a pivot of their own, until a round links nothing more; so a
     large group of copies takes linear work. Then all pairs of a bucket that are not yet connected are compared
@@ -128,16 +142,13 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
     members_of = materialise(labelled.select("id", "rep").distinct(), "reps")
     rep_ids = members_of.filter("id = rep").select("rep").distinct()
     own = materialise(made.join(rep_ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "bands", "m"), "own")
-    sim = covering_links(own.groupBy("fp").agg(F.min("rep").alias("rep")), radius)
-    same = own.join(own.groupBy("fp").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("fp", "s_fp"), F.col("fp") == F.col("s_fp")).filter("rep <> a").select("a", F.col("rep").alias("b"))
-    spread = own.select("rep", F.posexplode("bands").alias("t", "k"))
+    spread = own.select("rep", F.posexplode("bands").alias("t", "k")).unionByName(simhash_buckets(own, radius))
     full = spread.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"t": "ft", "k": "fk"})
     members = spread.join(full, (F.col("t") == F.col("ft")) & (F.col("k") == F.col("fk"))).select("rep", "t", "k", "n")
     members = materialise(members, "members")
     popular = members.groupBy("rep").agg(F.sum("n").alias("pop")).withColumnRenamed("rep", "p_rep")
     members = materialise(members.join(popular, F.col("rep") == F.col("p_rep")).select("rep", "t", "k", "pop"), "members")
-    first = materialise(sim.select("a", "b").unionByName(same).distinct(), "sim")
-    involved = members.select("rep").unionByName(first.select(F.col("a").alias("rep"))).unionByName(first.select(F.col("b").alias("rep"))).distinct().withColumnRenamed("rep", "i_rep")
+    involved = members.select("rep").distinct().withColumnRenamed("rep", "i_rep")
     texts = f.df.select(F.col(f.at(key)).cast("long").alias("rep"), F.col(f.at(text)).cast("string").alias("text")).join(involved, F.col("rep") == F.col("i_rep"), "left_semi")
     sets = materialise(shingle_sets(texts, words), "sets").dropDuplicates(["rep"])
     sizes = own.select("rep", "m")
@@ -152,17 +163,16 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
         common = F.size(F.array_intersect("sa", "sb"))
         return exact.filter((common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)) | ((F.size("sa") == 0) & (F.size("sb") == 0))).select("a", "b")
 
-    links = materialise(checked(first), "links")
-    dealt = members
+    links, dealt = None, members
     while True:
         pivots = members.groupBy("t", "k").agg(F.max(F.struct(F.col("pop"), (-F.col("rep")).alias("neg"))).alias("top"), F.count("*").alias("n")).filter("n > 1")
         pivots = pivots.select(F.col("t").alias("pt"), F.col("k").alias("pk"), (-F.col("top.neg")).alias("pivot"))
         rest = members.join(pivots, (F.col("t") == F.col("pt")) & (F.col("k") == F.col("pk"))).filter("rep <> pivot").select("rep", "t", "k", "pop", "pivot")
         pairs = rest.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         found = materialise(checked(pairs), "links")
+        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
         members = materialise(rest.join(found, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("rep", "t", "k", "pop"), "members")
     groups = components(links)
     pairs = materialise(unconnected_pairs(dealt.select("rep", "t", "k"), groups, sets, similarity), "pairs")

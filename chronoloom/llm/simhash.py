@@ -83,15 +83,15 @@ def fingerprints(docs: DataFrame, *, words: int = 3, key: str = "doc_id", text:
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-def covering_links(distinct: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of ``distinct`` (fp, rep) within ``radius`` <= 2 bits.
+def covering_groups(distinct: DataFrame, radius: int = 2, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) and groups (reps): every two of ``distinct`` (fp, rep) within ``radius`` <= 2 bits are a pair or stand in a group.
 
     Tables: one for each covering mask, keyed by the masked fingerprint; a pair within the radius
     shares a bucket of some table. A bucket of two is compared directly. In a larger one each member
     goes to itself and to every fingerprint one flip of a masked-out bit away: two members share such
     a neighbour exactly if they differ in at most two of those bits. At most 65 different
-    fingerprints can share a neighbour, so its group is small whatever the size of the bucket,
-    and a star over it carries every connection; pairs of a bucket are never listed.
+    fingerprints can share a neighbour, so its group is small whatever the size of the bucket;
+    pairs of a bucket are never listed.
     """
     if not 0 <= radius <= 2:
         raise ValueError("one-flip neighbourhoods are exact up to radius 2")
@@ -113,6 +113,12 @@ def covering_links(distinct: DataFrame, radius: int = 2, rows: int | None = None
     groups = groups.filter(F.size("reps") > 1)
     if radius == 1:
         groups = groups.filter("own = 1")
+    return twos, groups.select("reps")
+
+
+def covering_links(distinct: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints of ``distinct`` (fp, rep) within ``radius`` <= 2 bits: ``covering_groups``, a star over each group."""
+    twos, groups = covering_groups(distinct, radius, rows)
     stars = groups.select(F.array_min("reps").alias("b"), F.explode("reps").alias("a")).filter("a <> b").select("a", "b")
     return twos.unionByName(stars)
 

@@ -106,6 +106,22 @@ def test_pairs_whose_signatures_agree_too_little_by_chance(spark):
     assert {r.id: r.component for r in neardup.duplicate_ids(df).collect()} == {d: d - 1 for d in docs if d % 2}
 
 
+def test_all_simhashes_within_two_bits_share_a_bucket(spark):
+    rng = random.Random(23)
+    fps = [rng.getrandbits(64) for _ in range(4)]
+    while len(fps) < 120:
+        f = rng.choice(fps)
+        for b in rng.sample(range(64), rng.choice([0, 1, 1, 2, 3])):
+            f ^= 1 << b
+        fps.append(f)
+    own = spark.createDataFrame([(i, f - (f >> 63 << 64)) for i, f in enumerate(fps)], "rep long, fp long")
+    buckets = defaultdict(set)
+    for r in neardup.simhash_buckets(own, 2).collect():
+        buckets[r.t, r.k].add(r.rep)
+    met = {(a, b) for m in buckets.values() for a in m for b in m if a < b}
+    assert {(a, b) for a in range(120) for b in range(a + 1, 120) if (fps[a] ^ fps[b]).bit_count() <= 2} <= met
+
+
 def test_odd_rows_keep_one(spark):
     rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "A b c\nd e f", 2), (3, None, 3), (4, " ", 4), (None, "a b c d e f", 5), (5, "zzz", 6), (6, "y " * 50_000, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rep int")
