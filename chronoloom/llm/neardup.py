@@ -1,190 +1,307 @@
-"""Near-duplicate removal by word-shingle similarity, on top of SimHash links (the stage form of operator 10)."""
+"""Near-duplicate removal by word-shingle similarity: SimHash covering links first, then an exact prefix join (the stage form of operator 10)."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Frame, materialise
+from .common import Frame, materialise, text_buffer
 from .graphs import components
-from .simhash import LOWER, covering_groups, fingerprint, shingle_digests, signed
+from .shingles import distinct_in_rows, each_slice, simhashes
+from .simhash import covering_links
+from .tokens import mixed
 
 WORDS, SIMILARITY = 5, 0.8
-#: Min-hash bands and rows of a band: at similarity 0.8 a pair shares one of 16 bands of 6 with probability 0.992, at 0.85 with 0.9995.
-BANDS, ROWS = 16, 6
-#: Buckets of up to so many members are compared pair by pair after the pivots; members of larger ones meet through rare shingles.
-PAIRED = 32
-
-_rng = np.random.default_rng(2024)
-_MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Counters of the shingle sketch that orders shingles from rare to common, in blocks that one row holds. Fixed, whatever the input.
+COUNTERS, BLOCK = 1 << 20, 1 << 14
+#: Partial sums of one block of counters.
+SPREAD = 8
+#: A shingle that the sketch puts at more documents than this is dealt to several tasks, each with a pivot of its own.
+HOT = 1 << 14
+#: Two sets of 32 shingles or more whose 128-bit SimHashes differ in more bits than this are not compared. At similarity
+#: 0.8 the bits differ independently with probability 0.152: 19.4 of 128 expected, and over 44 with probability 1e-9.
+SKETCH_BITS, SKETCH_LEAST = 44, 32
+#: Members of a bucket that one task compares with all its others, at most; larger buckets are dealt in blocks.
+BLOCK_MEMBERS = 4096
+#: Bits of the filter by which texts are chosen for their shingle sets (2 MB, whatever the input).
+FILTER_BITS = 1 << 24
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    f = Frame(docs)
+    return f.df.select(F.col(f.at(key)).cast("long").alias("id"), F.col(f.at(text)).cast("string").alias("text")).filter("id is not null")
 
 
-def signature(digests: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of multiplied shingle hashes; all ones for no shingle."""
-    h = digests.view(">u8").ravel().astype(np.uint64)
-    low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(h), 1024):
-        low = np.minimum(low, (h[lo : lo + 1024, None] * _MULTIPLIERS).min(axis=0))
-    return low
+def _i64(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)
 
 
-def distinct(digests: np.ndarray) -> np.ndarray:
-    """The distinct shingle hashes, 32 bits each."""
-    return np.unique(digests[:, :4].copy().view(np.int32))
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """A byte for each counter: its logarithm, in eighths of a doubling."""
+    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, d1, d2, fp, bands, m): digest of the word sequence, SimHash, band keys and number of distinct shingles (by 32 bits)."""
-    f = Frame(docs)
-    slim = f.df.select(F.col(f.at(key)).cast("long").alias("id"), F.col(f.at(text)).cast("string").alias("text")).filter("id is not null")
+    """(id, d, fp, fp2, m) of every text, and in rows of their own (block, counts) one task's counts of shingles by hash.
+
+    ``d`` is a 64-bit digest of the word sequence, ``fp`` and ``fp2`` SimHashes of the distinct shingles, ``m`` their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "d", "fp", "fp2", "m", "block", "counts"]
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                t = t.as_py()
-                toks = (t or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-                d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(toks)), np.int64)
-                digests = shingle_digests(t, words)
-                low = signature(digests)
-                bands = [signed(xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b)) for b in range(BANDS)]
-                rows.append((int(d[0]), int(d[1]), signed(fingerprint(digests)), bands, len(distinct(digests))))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "d1", "d2", "fp", "bands", "m"])
-
-    return slim.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, fp bigint, bands array<bigint>, m int")
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles): the distinct shingle hashes (32 bits) of (id, text) rows."""
+            data, offs = text_buffer(batch.column(1))
+            for i, h, starts, d in each_slice(data, offs, words):
+                h, starts = distinct_in_rows(h, starts)
+                counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                n = len(d)
+                cols = [batch.column(0).slice(i, n), *[pa.array(_i64(x)) for x in (d, simhashes(h, starts), simhashes(mixed(h), starts))], pa.array(np.diff(starts).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        if counts.any():
+            n = COUNTERS // BLOCK
+            packed = pa.array([zlib.compress(counts[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1) for b in range(n)], pa.binary())
+            task = TaskContext.get().partitionId() % SPREAD
+            numbers = pa.array(np.arange(n, dtype=np.int32) * SPREAD + task)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.int32()), numbers, packed], names=names)
+
+    return _texts(docs, key, text).mapInArrow(run, "id bigint, d bigint, fp bigint, fp2 bigint, m int, block int, counts binary")
+
+
+def shingle_levels(made: DataFrame) -> np.ndarray:
+    """One byte for each counter, from the summed counts of all tasks; blocks are summed in tasks of their own, as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [distinct(shingle_digests(t.as_py(), words)) if t.is_valid and t.as_py() else np.zeros(0, np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["rep", "shingles"])
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(raw), np.int64)
+                sums[b] = sums[b] + part if b in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "counts"])
 
-    return docs.mapInArrow(run, "rep bigint, shingles array<int>")
+    parts = made.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary")
+    total = np.zeros(COUNTERS, np.int64)
+    for row in parts.toLocalIterator():
+        b = row["block"] // SPREAD
+        total[b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    return _levels(total)
 
 
-def simhash_buckets(own: DataFrame, radius: int) -> DataFrame:
-    """Buckets (rep, t, k) in which every two rows of ``own`` (rep, fp) whose fingerprints differ in at most ``radius`` bits meet."""
-    firsts = own.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
-    firsts = materialise(firsts, "firsts")
-    twos, groups = covering_groups(firsts.select("fp", "rep"), radius)
-    sets = twos.select(F.sort_array(F.array("a", "b")).alias("reps")).unionByName(groups.select(F.sort_array("reps").alias("reps"))).distinct()
-    near = sets.select(F.lit(-1).alias("t"), F.xxhash64("reps").alias("k"), F.explode("reps").alias("a"))
-    # A fingerprint's first document stands for all that have it.
-    of = own.select("rep", F.col("fp").alias("o_fp")).join(firsts.select("fp", F.col("rep").alias("first")), F.col("o_fp") == F.col("fp")).select("rep", "first")
-    near = near.join(of, F.col("a") == F.col("first")).select("rep", "t", "k")
-    equal = own.join(firsts.filter("n > 1").select(F.col("fp").alias("e_fp")), F.col("fp") == F.col("e_fp"), "left_semi").select("rep", F.lit(-2).alias("t"), F.col("fp").alias("k"))
-    return materialise(near.unionByName(equal), "simhash")
+def least_overlap(m: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that a set of ``m`` shares at least with any set of that similarity."""
+    return np.ceil(similarity * m - 1e-9).astype(np.int64)
 
 
-def unconnected_pairs(members: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of different groups that share a bucket (rep, t, k) and may be similar; ``groups`` (node, component) tells what is connected already.
+def tokens(docs: DataFrame, key: str, text: str, words: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """(s, p, d): the prefix of every text's shingles, from rare to common; p packs the hot share, place and number of shingles.
 
-    Only buckets of more than one group are open. Up to PAIRED members are compared pair by pair, larger ones by ``rare_pairs``.
+    Two sets at the similarity share a shingle among the first m - ceil(similarity * m) + 1 of either, whatever the
+    order, as long as it is one order for all. Equal texts of one batch are written once.
     """
-    grouped = materialise(members.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "t", "k", F.coalesce("component", "rep").alias("g")), "grouped")
-    still = grouped.groupBy(F.col("t").alias("ot"), F.col("k").alias("ok")).agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi")
-    still = materialise(grouped.join(still.select("ot", "ok", "n"), (F.col("t") == F.col("ot")) & (F.col("k") == F.col("ok"))).select("rep", "t", "k", "g", "n"), "open")
-    x = still.filter(F.col("n") <= PAIRED).select("t", "k", F.col("rep").alias("a"), F.col("g").alias("ga"))
-    y = x.select(F.col("t").alias("ty"), F.col("k").alias("ky"), F.col("a").alias("b"), F.col("ga").alias("gb"))
-    few = x.join(y, (F.col("t") == F.col("ty")) & (F.col("k") == F.col("ky")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b")
-    return few.unionByName(rare_pairs(still.filter(F.col("n") > PAIRED).select("rep", "g").distinct(), sets, similarity)).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    hot = int(_levels(np.array([HOT]))[0])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
+        for batch in batches:
+            data, offs = text_buffer(batch.column(1))
+            for _, h, starts, d in each_slice(data, offs, words):
+                h, starts = distinct_in_rows(h, starts)
+                once = np.zeros(len(d), bool)
+                once[np.unique(d, return_index=True)[1]] = True
+                m = np.diff(starts)
+                row = np.repeat(np.arange(len(m)), m)
+                lv = level[(h >> np.uint64(44)).astype(np.int64)]
+                order = np.lexsort((h, lv, row))
+                h, lv = h[order], lv[order]
+                place = np.arange(len(h)) - np.repeat(starts[:-1], m)
+                keep = (place <= (m - least_overlap(m, similarity))[row]) & once[row]
+                h, lv, place, row = h[keep], lv[keep].astype(np.float64), place[keep], row[keep]
+                deals = np.clip(2 ** (lv / 8) / HOT, 1, 500).astype(np.uint64)
+                own = mixed(d[row]) % np.maximum(deals, np.uint64(1))
+                deal = np.where(lv > hot, own.astype(np.int64) + 1, 0)
+                p = (deal << 54) | (place << 28) | m[row]
+                yield pa.RecordBatch.from_arrays([pa.array(_i64(h)), pa.array(p), pa.array(_i64(d[row]))], names=["s", "p", "d"])
+
+    return _texts(docs, key, text).select("id", "text").mapInArrow(run, "s bigint, p bigint, d bigint")
+
+
+def _fits(similarity: float, m, i, n, j):
+    """Whether sets of m and n shingles, whose first shared one stands at i and j, may reach the similarity (numbers, arrays or columns)."""
+    low, high = (F.least, F.greatest) if isinstance(m, Column) else (np.minimum, np.maximum)
+    return (low(m, n) >= similarity * high(m, n) - 1e-9) & (low(m - i, n - j) >= similarity / (1 + similarity) * (m + n) - 1e-9)
+
+
+def shared_tokens(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(s, p, d, pivot): rows of shingles that two texts or more have; pivot: the text with the earliest place, if the two may be similar.
+
+    One pass over sorted rows; of a bucket only its first row is held.
+    """
 
-def rare_pairs(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of different groups among ``docs`` (rep, g) that may be similar, none left out: a prefix-filter join.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None  # (s, deal, p, d) of the open bucket's first row, and whether that row is still unwritten
+        last, waiting = None, False
+        for batch in batches:
+            s, p, d = (batch.column(k).to_numpy() for k in range(3))
+            same = np.zeros(len(s), bool)
+            same[1:] = (s[1:] == s[:-1]) & (p[1:] == p[:-1]) & (d[1:] == d[:-1])
+            if last is not None and len(s):
+                same[0] = (s[0], p[0], d[0]) == last
+            s, p, d = s[~same], p[~same], d[~same]
+            if not len(s):
+                continue
+            last = (s[-1], p[-1], d[-1])
+            if head is not None:
+                s, p, d = (np.concatenate([[x], y]) for x, y in zip(head, (s, p, d), strict=True))
+            deal = p >> 54
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (deal[1:] != deal[:-1])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(s)))
+            run_of = np.cumsum(new) - 1
+            put = (size[run_of] > 1) | (deal > 0)
+            if head is not None and not waiting:
+                put[0] = False
+                put[1 : size[0]] = True
+            # The last bucket may go on: its first row waits if it is alone so far.
+            alone = size[-1] == 1 and deal[-1] == 0 and not (len(first) == 1 and head is not None and not waiting)
+            lead = first[run_of]
+            m, i = p & ((1 << 28) - 1), (p >> 28) & ((1 << 26) - 1)
+            near = _fits(similarity, m[lead], i[lead], m, i) & (d != d[lead])
+            head, waiting = (s[lead[-1]], p[lead[-1]], d[lead[-1]]), bool(alone)
+            yield pa.RecordBatch.from_arrays([pa.array(s[put]), pa.array(p[put]), pa.array(d[put]), pa.array(d[lead][put], mask=~near[put])], names=["s", "p", "d", "pivot"])
+
+    deal = F.shiftright("p", 54)
+    sorted_rows = prefixes.repartition("s", deal).sortWithinPartitions("s", "p", "d")
+    return sorted_rows.mapInArrow(run, "s bigint, p bigint, d bigint, pivot bigint")
+
+
+def chosen_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame) -> DataFrame:
+    """(d, shingles): distinct shingle hashes (32 bits) of the texts whose id is in ``ids``, and a few more.
+
+    The ids become a filter of fixed size that every task holds, so no text is shuffled; where
+    ids outgrow it, more texts pass than needed.
+    """
+    slot = F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 31 as int))")
+    words_of = ids.select(slot.alias("h")).groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[words_of.column("w").to_numpy()] = words_of.column("bits").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    Shingles stand in order of their number of documents. The first one that a similar pair shares lies early in
-    both: from its place on, either still holds the overlap that their sizes ask for. A pair of different groups has
-    a member outside the shingle's largest group, so only those meet all others.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            some = np.flatnonzero((bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1))
+            if not len(some):
+                continue
+            data, offs = text_buffer(batch.column(1).take(pa.array(some)))
+            for _, g, starts, d in each_slice(data, offs, words):
+                g, starts = distinct_in_rows(g & np.uint64(0xFFFFFFFF), starts)
+                sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(g.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(_i64(d)), sets], names=["d", "shingles"])
+
+    rows = _texts(docs, key, text).select(slot.cast("long").alias("h"), "text")
+    return rows.mapInArrow(run, "d bigint, shingles array<int>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets are as similar, by exact Jaccard similarity."""
+    once = sets.groupBy("d").agg(F.first("shingles").alias("x"))
+    left, right = once.toDF("da", "sa"), once.toDF("db", "sb")
+    both = pairs.join(left, F.col("a") == F.col("da")).join(right, F.col("b") == F.col("db"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+
+
+def sketches_agree(m, n, x, y) -> Column:
+    """Not ruled out by 128-bit SimHashes (columns x, y of structs fp, fp2)."""
+    bits = F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) + F.bit_count(F.col(f"{x}fp2").bitwiseXOR(F.col(f"{y}fp2")))
+    return (F.least(m, n) < SKETCH_LEAST) | (bits <= SKETCH_BITS)
+
+
+def first_pairs(shared: DataFrame, nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Candidate pairs (a, b) that cost no more than a row for each row read: covering-LSH links of SimHashes, and each bucket's pivot with its members."""
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("d").alias("least"), F.count("*").alias("n")), "firsts")
+    links = covering_links(firsts.select("fp", F.col("least").alias("rep")), radius)
+    alike = firsts.filter("n > 1").select(F.col("fp").alias("e_fp"), "least")
+    equal = nodes.join(alike, F.col("fp") == F.col("e_fp")).filter("d <> least").select(F.col("least").alias("a"), F.col("d").alias("b"))
+    met = shared.filter("pivot is not null").select(F.col("pivot").alias("a"), F.col("d").alias("b"))
+    pairs = links.unionByName(equal).unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = nodes.select(F.col("d").alias("xd"), F.col("m").alias("xm"), F.col("fp").alias("xfp"), F.col("fp2").alias("xfp2"))
+    y = nodes.select(F.col("d").alias("yd"), F.col("m").alias("ym"), F.col("fp").alias("yfp"), F.col("fp2").alias("yfp2"))
+    sized = F.least("xm", "ym") >= similarity * F.greatest("xm", "ym") - 1e-9
+    both = pairs.join(x, F.col("a") == F.col("xd")).join(y, F.col("b") == F.col("yd"))
+    return both.filter(sized & sketches_agree(F.col("xm"), F.col("ym"), "x", "y")).select("a", "b")
+
+
+def open_pairs(shared: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in different groups that share a prefix shingle and may be similar: none is left out.
+
+    Of every two texts in different groups one stands outside the bucket's largest group, so only
+    such strays meet all others. Places, sizes and SimHashes are compared inside the join; a large
+    bucket is dealt in blocks to several tasks.
     """
-    held = docs.join(sets.withColumnRenamed("rep", "s_rep"), F.col("rep") == F.col("s_rep")).select("rep", "g", F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
-    held = materialise(held, "held")
-    counts = held.groupBy(F.col("s").alias("cs")).agg(F.count("*").alias("n"))
-    lists = held.join(counts, F.col("s") == F.col("cs")).groupBy("rep", "g", "m").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x"))
-    probe = F.col("m") - F.ceil(similarity * F.col("m") - 1e-9) + 1
-    early = lists.select("rep", "g", "m", F.posexplode(F.slice("x", 1, probe.cast("int"))).alias("i", "x")).select("rep", "g", "m", "i", F.col("x.s").alias("s"), F.col("x.n").alias("n")).filter("n > 1").drop("n")
-    early = materialise(early, "early")
-    sizes = early.groupBy("s", "g").agg(F.count("*").alias("n")).groupBy(F.col("s").alias("hs")).agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("gs")).filter("gs > 1").drop("gs")
-    early = materialise(early.join(sizes, F.col("s") == F.col("hs")).select("rep", "g", "m", "i", "s", (F.col("g") != F.col("main")).alias("stray")), "early")
-    x = early.filter(F.col("i") <= F.col("m") - F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9))
-    y = early.toDF(*[f"y_{c}" for c in early.columns])
-    asked = similarity / (1 + similarity) * (F.col("m") + F.col("y_m")) - 1e-9
-    meets = (F.col("s") == F.col("y_s")) & (F.col("g") != F.col("y_g")) & (F.col("m") <= F.col("y_m")) & (F.col("m") >= similarity * F.col("y_m") - 1e-9)
-    meets = meets & (F.least(F.col("m") - F.col("i"), F.col("y_m") - F.col("y_i")) >= asked) & (F.col("rep") != F.col("y_rep"))
-    both = x.filter("stray").join(y, meets).unionByName(x.filter("not stray").join(y.filter("y_stray"), meets))
-    return both.select(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b")).distinct()
+    labelled = nodes.join(groups, F.col("d") == F.col("node"), "left").select(F.col("d").alias("l_d"), "fp", "fp2", F.coalesce("component", "d").alias("g"))
+    rows = shared.join(labelled, F.col("d") == F.col("l_d"))
+    rows = rows.select("s", "d", "g", "fp", "fp2", F.col("p").bitwiseAND(F.lit((1 << 28) - 1)).alias("m"), F.shiftright("p", 28).bitwiseAND(F.lit((1 << 26) - 1)).alias("i"))
+    rows = materialise(rows, "labelled")
+    sizes = rows.groupBy("s", "g").agg(F.count("*").alias("n")).groupBy(F.col("s").alias("o_s")).agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("gs"), F.sum("n").alias("n")).filter("gs > 1")
+    held = materialise(rows.join(sizes, F.col("s") == F.col("o_s")).select("s", "d", "g", "fp", "fp2", "m", "i", (F.col("g") != F.col("main")).alias("stray"), F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "open")
+    x = held.filter(F.col("i") <= F.col("m") - F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9)).withColumn("blk", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")).drop("blocks")
+    y = held.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    x, y = x.toDF(*[f"x{c}" for c in x.columns]), y.toDF(*[f"y{c}" for c in y.columns])
+    col = F.col
+    smaller = (col("xm") < col("ym")) | ((col("xm") == col("ym")) & (col("xd") < col("yd")))
+    meets = (col("xs") == col("ys")) & (col("xblk") == col("yblk")) & (col("xg") != col("yg")) & smaller
+    meets = meets & _fits(similarity, col("xm"), col("xi"), col("ym"), col("yi")) & sketches_agree(col("xm"), col("ym"), "x", "y")
+    both = x.filter("xstray").join(y, meets).unionByName(x.filter("not xstray").join(y.filter("ystray"), meets))
+    return both.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct()
 
 
 def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, radius: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of every document, rep being the smallest id of equal word sequences, and links (a, b) between reps.
-
-    Candidates share a bucket: a min-hash band, a SimHash, or a covering-LSH group of SimHashes. They meet the
-    bucket's pivot first, the member whose other buckets are fullest (the original among its copies).
-    Every candidate is checked exactly by Jaccard similarity of word shingles. Members that a pivot does not
-    match go on to the next round with a pivot of their own, until a round links nothing more; so a
-    large group of copies takes linear work. Then all pairs of a bucket that are not yet connected are compared
-    (``unconnected_pairs``), those of large buckets as far as they can be similar by their rare shingles.
+    """(id, d) of every document, d being the digest of its word sequence, and links (a, b) between digests that connect all similar texts.
+
+    First candidates: SimHashes within ``radius`` bits through covering LSH, and each prefix bucket's members with its
+    pivot (the member with the fewest rare shingles, the original among its copies). They cost a row
+    for each row read and bring together large groups of copies. Then every pair of texts that
+    are not connected yet, share a prefix shingle and can be similar by their sizes, places and SimHashes is
+    compared. Every candidate is checked by exact Jaccard similarity. A prefix join finds all pairs;
+    the SimHash comparison loses one in 1e9 of those at the threshold.
     """
-    f = Frame(docs)
     made = materialise(sketches(docs, key, text, words), "sketches")
-    reps = made.groupBy("d1", "d2").agg(F.min("id").alias("rep")).withColumnsRenamed({"d1": "r1", "d2": "r2"})
-    labelled = made.select("id", "d1", "d2").join(reps, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")))
-    members_of = materialise(labelled.select("id", "rep").distinct(), "reps")
-    rep_ids = members_of.filter("id = rep").select("rep").distinct()
-    own = materialise(made.join(rep_ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "bands", "m"), "own")
-    spread = own.select("rep", F.posexplode("bands").alias("t", "k")).unionByName(simhash_buckets(own, radius))
-    full = spread.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"t": "ft", "k": "fk"})
-    members = spread.join(full, (F.col("t") == F.col("ft")) & (F.col("k") == F.col("fk"))).select("rep", "t", "k", "n")
-    members = materialise(members, "members")
-    popular = members.groupBy("rep").agg(F.sum("n").alias("pop")).withColumnRenamed("rep", "p_rep")
-    members = materialise(members.join(popular, F.col("rep") == F.col("p_rep")).select("rep", "t", "k", "pop"), "members")
-    involved = members.select("rep").distinct().withColumnRenamed("rep", "i_rep")
-    texts = f.df.select(F.col(f.at(key)).cast("long").alias("rep"), F.col(f.at(text)).cast("string").alias("text")).join(involved, F.col("rep") == F.col("i_rep"), "left_semi")
-    sets = materialise(shingle_sets(texts, words), "sets").dropDuplicates(["rep"])
-    sizes = own.select("rep", "m")
+    levels = shingle_levels(made)
+    own = made.filter("block is null").select("id", "d", "fp", "fp2", "m")
+    nodes = materialise(own.groupBy("d").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("m").alias("m")), "nodes")
+    shared = materialise(shared_tokens(tokens(docs, key, text, words, similarity, levels), similarity), "shared")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        a, b = sizes.select(F.col("rep").alias("ra"), F.col("m").alias("ma")), sizes.select(F.col("rep").alias("rb"), F.col("m").alias("mb"))
-        close = pairs.join(a, F.col("a") == F.col("ra")).join(b, F.col("b") == F.col("rb"))
-        # Sets of sizes further apart cannot be similar: exact, nothing is lost.
-        close = close.filter(F.least("ma", "mb") >= similarity * F.greatest("ma", "mb") - 1e-9).select("a", "b")
-        a, b = sets.select(F.col("rep").alias("ra"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("rb"), F.col("shingles").alias("sb"))
-        exact = close.join(a, F.col("a") == F.col("ra")).join(b, F.col("b") == F.col("rb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return exact.filter((common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)) | ((F.size("sa") == 0) & (F.size("sb") == 0))).select("a", "b")
-
-    links, dealt = None, members
-    while True:
-        pivots = members.groupBy("t", "k").agg(F.max(F.struct(F.col("pop"), (-F.col("rep")).alias("neg"))).alias("top"), F.count("*").alias("n")).filter("n > 1")
-        pivots = pivots.select(F.col("t").alias("pt"), F.col("k").alias("pk"), (-F.col("top.neg")).alias("pivot"))
-        rest = members.join(pivots, (F.col("t") == F.col("pt")) & (F.col("k") == F.col("pk"))).filter("rep <> pivot").select("rep", "t", "k", "pop", "pivot")
-        pairs = rest.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        found = materialise(checked(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            break
-        members = materialise(rest.join(found, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("rep", "t", "k", "pop"), "members")
-    groups = components(links)
-    pairs = materialise(unconnected_pairs(dealt.select("rep", "t", "k"), groups, sets, similarity), "pairs")
-    return members_of, groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(materialise(checked(pairs), "links"))
+        ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
+        ids = nodes.join(ends, F.col("d") == F.col("e"), "left_semi").select(F.col("rep").alias("id"))
+        sets = materialise(chosen_sets(docs, key, text, words, ids), "sets")
+        return materialise(similar(pairs, sets, similarity), "links")
+
+    pairs = materialise(first_pairs(shared, nodes, similarity, radius), "pairs")
+    groups = components(checked(pairs))
+    more = materialise(open_pairs(shared, nodes, groups, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    star = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return own.select("id", "d"), star if more.isEmpty() else star.unionByName(checked(more))
 
 
 def duplicate_ids(docs: DataFrame, **options) -> DataFrame:
     """(id, component) of every document that is not the smallest id of its group of near duplicates."""
-    members_of, links = similar_links(docs, **options)
-    comps = components(links).withColumnsRenamed({"node": "c_node"})
-    out = members_of.join(comps, F.col("rep") == F.col("c_node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
-    return out.filter("id <> component")
+    of, links = similar_links(docs, **options)
+    comps = components(links)
+    labelled = of.join(comps, F.col("d") == F.col("node"), "left").select("id", F.coalesce("component", "d").alias("c"))
+    least = labelled.groupBy(F.col("c").alias("k")).agg(F.min("id").alias("component"))
+    return labelled.join(least, F.col("c") == F.col("k")).filter("id <> component").select("id", "component").distinct()
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -192,12 +309,15 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
 
     Groups are connected by similarity of 0.8 or more of five-word shingles. Null and wordless texts
     are equal to each other. A key that repeats stays once; rows without a key cannot be named by
-    a decision and stay. An empty table gives an empty result.
+    a decision and stay. Columns may bear any names, also those used inside. An empty table gives an empty result.
     """
     f = Frame(docs)
     gone = materialise(duplicate_ids(docs, key=key, text=text, **options).select(F.col("id").alias("g_id")), "gone")
     left = f.df.join(gone, F.col(f.at(key)).cast("long") == F.col("g_id"), "left_anti")
-    again = docs.select(F.col(f"`{key}`").cast("long").alias("x_id")).groupBy("x_id").agg(F.count("*").alias("n")).filter("n > 1 and x_id is not null").select("x_id")
+    again = f.df.select(F.col(f.at(key)).cast("long").alias("x_id")).groupBy("x_id").agg(F.count("*").alias("n")).filter("n > 1 and x_id is not null").select("x_id")
+    again = materialise(again, "again")
+    if again.isEmpty():
+        return left.toDF(*f.names)
     is_again = F.col(f.at(key)).cast("long") == F.col("x_id")
     once = left.join(again, is_again, "left_anti")
     first = left.join(again, is_again, "left_semi").dropDuplicates([f.at(key)])
