@@ -12,28 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Frame, first_by_hash, slices, table, text_buffer
-from .tokens import BASE, INVERSE, find_words, powers
+from .tokens import BASE, INVERSE, SLICE, Words, cut_at_gaps, find_words, lowered, powers
 
 #: The public vocabulary; a parameter of every function that reads it.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Training documents of a language, at most (in order of a hash of their ids).
 PER_LANGUAGE = 400
-#: Longest piece and longest word part, in bytes. A longer word is scored as a chain of parts.
-PIECE_BYTES = 10
-PART_BYTES = 24
-#: Words whose evidence decides fully: longer texts are no surer than this many words.
-FULL_EVIDENCE = 20
+#: Longest word, in bytes with its mark, that is learnt from. Words of any length are scored whole.
+LEARNT_BYTES = 32
 #: Marks the start of a word, as the vocabulary's meta symbol does.
 SPACE = 0x20
+#: Words whose probabilities a task keeps for the texts to come.
+KEPT_WORDS = 1 << 18
 #: Rows whose crc32(key) mod FOLDS is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 5, 0
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LETTER = np.zeros(128, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Bytes of words: all but ASCII white space.
+_INK = np.ones(256, bool)
+_INK[[9, 10, 11, 12, 13, 32]] = False
 
 
 def load_pieces(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces of letters, lower-cased, with the word mark as a space; every single byte is one too, so each text has a segmentation."""
+    """Every piece of the vocabulary, lower-cased as texts are, with the word mark as a space; every single byte is one too, so each text has a segmentation."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -41,10 +43,8 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            raw = p.replace("▁", " ").lower().encode()
-            body = raw.removeprefix(b" ")
-            if 0 < len(raw) <= PIECE_BYTES and body and all(_LETTER[c] for c in body):
-                found.add(raw)
+            raw = p.replace("▁", " ").encode()
+            found.add(lowered(np.frombuffer(raw, np.uint8)).tobytes())
     return sorted(found)
 
 
@@ -53,162 +53,194 @@ def piece_key(raw: bytes) -> int:
 
 
 class Lookup:
-    """Piece numbers by polynomial hash, in an open table probed with whole arrays."""
+    """Piece numbers by polynomial hash, in an open table probed with whole arrays; ``sizes`` are the lengths that pieces have."""
+
+    BITS = 20
 
     def __init__(self, pieces: list[bytes]):
-        self.size = 1 << 18
+        self.size = 1 << self.BITS
         self.keys, self.ids = np.zeros(self.size, np.uint64), np.full(self.size, len(pieces), np.int32)
+        self.sizes = sorted({len(p) for p in pieces})
         self.depth = 0
         for i, p in enumerate(pieces):
             k = piece_key(p)
-            at, steps = self._slot(k), 1
+            at, steps = (k * 0xD6E8FEB86659FD93 % (1 << 64)) >> (64 - self.BITS), 1
             while self.ids[at] != len(pieces):
                 at, steps = (at + 1) % self.size, steps + 1
             self.keys[at], self.ids[at] = k, i
             self.depth = max(self.depth, steps)
         self.none = len(pieces)
 
-    def _slot(self, k: int) -> int:
-        return (k * 0xD6E8FEB86659FD93 % (1 << 64)) >> 46
-
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)).astype(np.int64)
-        out = np.full(keys.shape, self.none, np.int32)
-        for step in range(self.depth):
+        at = ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = np.where(self.keys[at] == keys, self.ids[at], self.none)
+        for step in range(1, self.depth):
             here = (at + step) & (self.size - 1)
             out = np.where((out == self.none) & (self.keys[here] == keys), self.ids[here], out)
         return out
 
 
-@dataclass
-class Parts:
-    """Distinct word parts as rows of bytes with their lengths, and how often each text holds each part."""
-
-    bytes: np.ndarray
-    length: np.ndarray
-    which: np.ndarray
-    row: np.ndarray
-    words: np.ndarray
-
-
-def word_parts(data: np.ndarray, offs: np.ndarray) -> Parts:
-    """Words are runs of letters, lower-cased. Each is led by the word mark and cut into parts of PART_BYTES."""
-    w = find_words(data, offs, _LETTER)
-    length = w.end - w.start
-    pieces = np.maximum(1, -(-(length + 1) // PART_BYTES))
-    word = np.repeat(np.arange(len(length)), pieces)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    # The part's bytes, where the word mark stands before the word's first byte.
-    begin = w.start[word] - 1 + nth * PART_BYTES
-    size = np.minimum(PART_BYTES, length[word] + 1 - nth * PART_BYTES)
-    lead = nth == 0
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((w.low.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    s, e = begin + lead, begin + size
-    key = ((sums[e] - sums[s]) * powers(INVERSE, len(data) + 1)[s]) * np.uint64(2) + lead.astype(np.uint64)
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    at = begin[first][:, None] + np.arange(PART_BYTES)
-    matrix = w.low[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else np.zeros((0, PART_BYTES), np.uint8)
-    if len(first):
-        matrix[lead[first], 0] = SPACE
-    return Parts(matrix, size[first], which, w.row[word], np.diff(w.first))
-
-
-def part_pieces(parts: Parts, lookup: Lookup) -> np.ndarray:
-    """ids[n, s, l]: the piece at bytes s .. s+l+1 of part n (or ``lookup.none``)."""
-    n = len(parts.length)
-    powered = (parts.bytes.astype(np.uint64) + np.uint64(1)) * powers(BASE, PART_BYTES)
-    sums = np.zeros((n, PART_BYTES + 1), np.uint64)
-    np.cumsum(powered, axis=1, out=sums[:, 1:])
-    ids = np.full((n, PART_BYTES, PIECE_BYTES), lookup.none, np.int32)
-    for s in range(PART_BYTES):
-        live = np.flatnonzero(parts.length > s)
-        if not len(live):
-            break
-        for size in range(1, min(PIECE_BYTES, PART_BYTES - s) + 1):
-            fits = live[parts.length[live] >= s + size]
-            ids[fits, s, size - 1] = lookup.find((sums[fits, s + size] - sums[fits, s]) * powers(INVERSE, PART_BYTES + 1)[s])
-    return ids
-
-
-def forward(ids: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """f[n, t, lang]: probability of the first t bytes of part n, summed over all segmentations."""
-    n, width = len(length), int(length.max()) if len(length) else 0
-    f = np.zeros((n, width + 1, table.shape[1]))
-    f[:, 0] = 1
+def marked(low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Words as rows of bytes, the word mark first; zeros after a shorter word."""
+    width = int(length.max()) if len(length) else 0
+    at = start[:, None] + np.arange(width)
+    inside = np.arange(width) < length[:, None]
+    body = np.where(inside, low[np.where(inside, at, 0)], 0).astype(np.uint8) if width else np.zeros((len(start), 0), np.uint8)
+    return np.concatenate([np.full((len(start), 1), SPACE, np.uint8), body], axis=1)
+
+
+def prefix_sums(rows: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all beginnings of each row."""
+    sums = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * powers(BASE, rows.shape[1]), axis=1, out=sums[:, 1:])
+    return sums
+
+
+def pieces_ending(sums: np.ndarray, t: int, size: int, lookup: Lookup) -> np.ndarray:
+    """The piece at the last ``size`` of the first ``t`` bytes of each row (or ``lookup.none``)."""
+    return lookup.find((sums[:, t] - sums[:, t - size]) * powers(INVERSE, t + 1)[t - size])
+
+
+def score_words(rows: np.ndarray, length: np.ndarray, lookup: Lookup, table: np.ndarray) -> np.ndarray:
+    """log P(word | language): the forward sum over all segmentations of each row's first ``length`` bytes.
+
+    Sums are kept over the longest piece's reach and scaled as they go, so words may be of any length.
+    """
+    n, width, k = len(rows), rows.shape[1], table.shape[1]
+    reach = lookup.sizes[-1]
+    out, scale = np.zeros((n, k)), np.zeros((n, k))
+    f = np.zeros((reach + 1, n, k))
+    f[0] = 1
+    sums = prefix_sums(rows)
     for t in range(1, width + 1):
-        for size in range(1, min(PIECE_BYTES, t) + 1):
-            f[:, t] += f[:, t - size] * table[ids[:, t - size, size - 1]]
-    return f
-
-
-def backward(ids: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray:
-    n, width = len(length), int(length.max()) if len(length) else 0
-    b = np.zeros((n, width + 1, table.shape[1]))
-    b[np.arange(n), length] = 1
-    for t in range(width - 1, -1, -1):
-        inside = t < length
-        add = sum(b[:, t + size] * table[ids[:, t, size - 1]] for size in range(1, min(PIECE_BYTES, width - t) + 1))
-        b[inside, t] = add[inside]
-    return b
-
-
-def score_parts(parts: Parts, lookup: Lookup, table: np.ndarray, chunk: int = 8_192) -> np.ndarray:
-    """log P(part | language) for every distinct part; parts of like length are scored together."""
-    out = np.zeros((len(parts.length), table.shape[1]))
-    order = np.argsort(parts.length, kind="stable")
-    for lo in range(0, len(order), chunk):
-        own = order[lo : lo + chunk]
-        some = Parts(parts.bytes[own], parts.length[own], None, None, None)
-        f = forward(part_pieces(some, lookup), some.length, table)
-        out[own] = np.log(f[np.arange(len(own)), some.length])
+        now = np.zeros((n, k))
+        for size in lookup.sizes:
+            if size > t:
+                break
+            i = pieces_ending(sums, t, size, lookup)
+            hit = np.flatnonzero(i != lookup.none)
+            if len(hit) == n:
+                now += f[(t - size) % (reach + 1)] * table[i]
+            elif len(hit):
+                now[hit] += f[(t - size) % (reach + 1)][hit] * table[i[hit]]
+        f[t % (reach + 1)] = now
+        if t % 8 == 0:
+            top = f.max(axis=0)
+            f /= top
+            scale += np.log(top)
+        done = length == t
+        if done.any():
+            out[done] = np.log(f[t % (reach + 1)][done]) + scale[done]
     return out
 
 
 @dataclass
 class Model:
-    """languages, log-free piece probabilities (one row a piece, last row 0) and the lookup."""
+    """Languages, piece probabilities (one row a piece, last row 0) and the lookup; keeps the probabilities of words it has seen."""
 
     languages: list[str]
     table: np.ndarray
     lookup: Lookup
 
+    def __post_init__(self):
+        self.seen, self.known = np.zeros(0, np.uint64), np.zeros((0, len(self.languages)))
+
+    def __getstate__(self):
+        return {"languages": self.languages, "table": self.table, "lookup": self.lookup}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def words(self, w: Words) -> np.ndarray:
+        """log P(word | language) of every word; a distinct word is worked out once."""
+        keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.seen, keys), max(len(self.seen) - 1, 0))
+        old = self.seen[at] == keys if len(self.seen) else np.zeros(len(keys), bool)
+        scores = np.empty((len(keys), len(self.languages)))
+        scores[old] = self.known[at[old]] if old.any() else 0
+        fresh = np.flatnonzero(~old)
+        start, length = w.start[first[fresh]], (w.end - w.start)[first[fresh]]
+        order = np.argsort(length, kind="stable")
+        lo = 0
+        while lo < len(order):
+            # As many words of like length as make a small matrix; a giant word stands alone.
+            hi = lo + max(1, int(np.searchsorted(np.arange(1, len(order) - lo + 1) * (length[order[lo:]] + 1), 1 << 17, side="right")))
+            own = order[lo:hi]
+            scores[fresh[own]] = score_words(marked(w.low, start[own], length[own]), length[own] + 1, self.lookup, self.table)
+            lo = hi
+        if len(fresh):
+            if len(self.seen) + len(fresh) > KEPT_WORDS:
+                self.seen, self.known = keys[:KEPT_WORDS], scores[:KEPT_WORDS]
+            else:
+                place = np.searchsorted(self.seen, keys[fresh])
+                self.seen, self.known = np.insert(self.seen, place, keys[fresh]), np.insert(self.known, place, scores[fresh], axis=0)
+        return scores[which]
+
     def log_likelihoods(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = word_parts(data, offs)
-        scores = score_parts(parts, self.lookup, self.table)
-        n = len(offs) - 1
-        total = np.stack([np.bincount(parts.row, scores[parts.which, k], n) for k in range(len(self.languages))], axis=1) if len(parts.which) else np.zeros((n, len(self.languages)))
-        return total, parts.words
-
-
-def fit(texts: dict[str, list[str]], pieces: list[bytes], rounds: int = 4) -> Model:
-    """Expectation-maximisation of each language's piece probabilities over its texts' words."""
-    lookup = Lookup(pieces)
-    languages = sorted(texts)
-    everything = [t for k in languages for t in texts[k]]
-    of = np.repeat(np.arange(len(languages)), [len(texts[k]) for k in languages])
-    raw = [t.encode("utf-8", "surrogatepass") for t in everything]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    parts = word_parts(np.frombuffer(b"".join(raw), np.uint8), offs)
-    n, v = len(parts.length), len(pieces)
-    counts = np.stack([np.bincount(parts.which[of[parts.row] == k], minlength=n) for k in range(len(languages))], axis=1) if n else np.zeros((0, len(languages)))
-    size = np.array([len(p) for p in pieces])
+        """(log P(text | language), number of words) of every text; a long text is read in pieces that end at white space."""
+        n, k = len(offs) - 1, len(self.languages)
+        total, words = np.zeros((n, k)), np.zeros(n, np.int64)
+        cuts = [(0, len(data))] if n != 1 else cut_at_gaps(data, _INK, SLICE)
+        for lo, hi in cuts:
+            w = find_words(data[lo:hi], offs if n != 1 else np.array([0, hi - lo]), _INK)
+            scores = self.words(w)
+            for j in range(k):
+                total[:, j] += np.bincount(w.row, scores[:, j], n)
+            words += np.diff(w.first)
+        return total, words
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(lang, word, n): words of (lang, text) rows of up to LEARNT_BYTES bytes with the mark, lower-cased, and how often they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffer(batch.column(1))
+            for i, j in slices(offs, SLICE):
+                part = data[offs[i] : offs[j]]
+                w = find_words(part, offs[i : j + 1] - offs[i], _INK)
+                short = np.flatnonzero(w.end - w.start < LEARNT_BYTES)
+                langs = batch.column(0).slice(i, j - i).take(pa.array(w.row[short]))
+                found = pa.table({"lang": langs, "word": pa.array([w.low[a:b].tobytes() for a, b in zip(w.start[short], w.end[short], strict=True)], pa.binary())})
+                counted = found.group_by(["lang", "word"]).aggregate([([], "count_all")])
+                yield from counted.rename_columns(["lang", "word", "n"]).to_batches()
+
+    return texts.mapInArrow(run, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = 4, chunk: int = 2_048) -> Model:
+    """Expectation-maximisation of each language's piece probabilities over the words of its training texts."""
+    lookup, languages = Lookup(pieces), sorted(counts)
+    words = sorted({w for k in languages for w in counts[k]}, key=lambda w: (len(w), w))
+    size, v, reach = np.array([len(p) for p in pieces]), len(pieces), lookup.sizes[-1]
     table = np.zeros((v + 1, len(languages)))
     table[:v] = (0.05 ** size)[:, None]
     for _ in range(rounds):
         got = np.zeros((v + 1, len(languages)))
-        for lo in range(0, n, 8_192):
-            some = Parts(parts.bytes[lo : lo + 8_192], parts.length[lo : lo + 8_192], None, None, None)
-            ids = part_pieces(some, lookup)
-            f, b = forward(ids, some.length, table), backward(ids, some.length, table)
-            share = counts[lo : lo + 8_192] / f[np.arange(len(some.length)), some.length]
-            for t in range(f.shape[1] - 1):
-                for s in range(1, min(PIECE_BYTES, f.shape[1] - 1 - t) + 1):
-                    i = ids[:, t, s - 1]
-                    mass = f[:, t] * b[:, t + s] * table[i] * share
-                    for k in range(len(languages)):
-                        got[:, k] += np.bincount(i, mass[:, k], v + 1)
+        for lo in range(0, len(words), chunk):
+            own = words[lo : lo + chunk]
+            length = np.array([len(w) for w in own])
+            buffer = np.frombuffer(b"".join(own), np.uint8)
+            rows = marked(buffer, np.cumsum(length) - length, length)
+            length, width, sums = length + 1, rows.shape[1], prefix_sums(rows)
+            ids = {(t, s): pieces_ending(sums, t, s, lookup) for t in range(1, width + 1) for s in lookup.sizes if s <= min(t, reach)}
+            f, b = np.zeros((2, width + 1, len(own), len(languages)))
+            f[0] = 1
+            for t in range(1, width + 1):
+                for s in (s for s in lookup.sizes if s <= t):
+                    f[t] += f[t - s] * table[ids[t, s]]
+            b[length, np.arange(len(own))] = 1
+            for t in range(width - 1, -1, -1):
+                add = sum(b[t + s] * table[ids[t + s, s]] for s in lookup.sizes if t + s <= width)
+                b[t][t < length] = add[t < length]
+            often = np.array([[counts[k].get(w, 0) for k in languages] for w in own])
+            share = often / f[length, np.arange(len(own))]
+            for (t, s), i in ids.items():
+                hit = np.flatnonzero(i != lookup.none)
+                mass = f[t - s][hit] * b[t][hit] * table[i[hit]] * share[hit]
+                for k in range(len(languages)):
+                    got[:, k] += np.bincount(i[hit], mass[:, k], v + 1)
         # Every piece keeps a little mass, a single byte more than a long piece.
         got[:v] += 0.01 * (0.5**size)[:, None] + 1e-4
         got[v] = 0
@@ -216,11 +248,9 @@ def fit(texts: dict[str, list[str]], pieces: list[bytes], rounds: int = 4) -> Mo
     return Model(languages, table, lookup)
 
 
-def posteriors(total: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Language probabilities with equal priors; the evidence of a long text counts as FULL_EVIDENCE words of its average."""
-    scaled = total / np.maximum(1, words / FULL_EVIDENCE)[:, None]
-    scaled -= scaled.max(axis=1, keepdims=True)
-    p = np.exp(scaled)
+def posteriors(total: np.ndarray) -> np.ndarray:
+    """Language probabilities of texts, with equal priors."""
+    p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
@@ -231,17 +261,19 @@ def held_out(key) -> "F.Column":
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, vocabulary: str = VOCABULARY) -> Model:
     """Fit on at most ``per_language`` labelled documents a language, outside the held-out fold, chosen by a hash of the key.
 
-    Ids are chosen before any text is read; the chosen texts are whole. Null keys, languages and texts are not learnt from.
+    Ids are chosen before any text is read; the chosen texts are whole and counted where they lie: the
+    driver gets distinct words with their counts. Null keys, languages and texts are not learnt from.
     """
     f = Frame(docs)
     k, lab = F.col(f.at(key)), F.col(f.at(lang))
     ids = f.df.select(k.alias("id"), lab.alias("lang")).filter("id is not null and lang is not null").filter(~held_out(F.col("id"))).distinct()
     ids = first_by_hash(ids, "lang", "id", per_language)
     chosen = f.df.select(k.alias("id"), lab.alias("lang"), F.col(f.at(text)).cast("string").alias("text")).filter("text is not null").join(F.broadcast(ids.select("id", "lang")), ["id", "lang"])
-    texts: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")]).to_pylist():
-        texts.setdefault(row["lang"], []).append(row["text"])
-    return fit(texts, load_pieces(vocabulary))
+    counts: dict[str, dict[bytes, int]] = {}
+    found = count_words(chosen.select("lang", "text")).toArrow()
+    for lang_name, word, n in zip(*(found.column(c).to_pylist() for c in range(3)), strict=True):
+        counts.setdefault(lang_name, {})[word] = n
+    return fit(counts, load_pieces(vocabulary))
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -263,26 +295,25 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             texts = batch.column(at)
             data, offs = text_buffer(texts)
             pred, score = [], []
-            for i, j in slices(offs, 1 << 21):
-                total, words = m.log_likelihoods(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                p = posteriors(total, words) if m.languages else None
-                for r in range(j - i):
-                    if p is None or words[r] == 0 or not has_letter(data[offs[i + r] : offs[i + r + 1]]):
-                        pred.append("und")
-                        score.append(0.0)
-                    else:
-                        best = int(p[r].argmax())
-                        pred.append(m.languages[best])
-                        score.append(float(p[r, best]))
+            for i, j in slices(offs, SLICE):
+                part, edges = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                told = has_letter(part, edges) & bool(m.languages)
+                p = posteriors(m.log_likelihoods(part, edges)[0]) if told.any() else None
+                best = p.argmax(axis=1) if told.any() else None
+                pred += [m.languages[best[r]] if told[r] else "und" for r in range(j - i)]
+                score += [float(p[r, best[r]]) if told[r] else 0.0 for r in range(j - i)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[c for c, _ in kept] + ["lang_pred", "score"])
 
     return df.mapInArrow(run, schema).toDF(*[n for _, n in kept], "lang_pred", "score")
 
 
-def has_letter(raw: np.ndarray) -> bool:
-    if (_LETTER[:128][raw[raw < 128]]).any():
-        return True
-    return any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
+def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text holds a letter of any script."""
+    sums = np.concatenate([[0], np.cumsum((data < 128) & _LETTER[data & 127])])
+    found = sums[offs[1:]] > sums[offs[:-1]]
+    for r in np.flatnonzero(~found & (np.diff(offs) > 0)):
+        found[r] = any(c.isalpha() for c in data[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace"))
+    return found
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from .common import slices
-from .tokens import find_words, mixed
+from .tokens import cut_at_gaps, find_words, mixed
 
 #: Lower-cases A-Z only.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,18 +28,9 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         w = find_words(data, offs, _INK, low)
         return w.hash, w.first
     # One long text: pieces end at white space, so no word is cut and memory follows the piece.
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + SLICE)
-        while end < len(data):
-            gaps = np.flatnonzero(~_INK[data[end : end + SLICE]])
-            if len(gaps):
-                end += int(gaps[0])
-                break
-            end = min(len(data), end + SLICE)
-        piece = data[at:end]
-        out.append(find_words(piece, np.array([0, len(piece)]), _INK, _LOWER[piece]).hash)
-        at = end
+    out = []
+    for lo, hi in cut_at_gaps(data, _INK, SLICE):
+        out.append(find_words(data[lo:hi], np.array([0, hi - lo]), _INK, _LOWER[data[lo:hi]]).hash)
     joined = np.concatenate(out) if out else np.zeros(0, np.uint64)
     return joined, np.array([0, len(joined)])
 

@@ -16,6 +16,8 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 for _r in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
     _WORD[list(_r)] = True
+#: Texts are worked on in runs of about so many bytes.
+SLICE = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -89,3 +91,18 @@ def word_hashes(text: str) -> np.ndarray:
     """Hashes of one text's words, equal to those of ``find_words``."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     return find_words(data, np.array([0, len(data)])).hash
+
+
+def cut_at_gaps(data: np.ndarray, inside: np.ndarray, size: int):
+    """Ranges of about ``size`` bytes that together are ``data``; none ends within a run of ``inside`` bytes."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + size)
+        while end < len(data):
+            gaps = np.flatnonzero(~inside[data[end : end + size]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(len(data), end + size)
+        yield at, end
+        at = end

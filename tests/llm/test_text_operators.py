@@ -88,31 +88,67 @@ def test_repeated_rows_and_null_ids_are_listed_once(spark):
 
 def enumerate_log_probability(word, table):
     """log of the sum over every segmentation of ``word`` into pieces of ``table``."""
-    total = [1.0] + [0.0] * len(word)
+    total = [0.0] + [-np.inf] * len(word)
     for end in range(1, len(word) + 1):
-        total[end] = sum(total[start] * table.get(word[start:end], 0.0) for start in range(end))
-    return np.log(total[-1])
+        ways = [total[start] + np.log(table[word[start:end]]) for start in range(max(0, end - 40), end) if word[start:end] in table]
+        total[end] = np.logaddexp.reduce(ways)
+    return total[-1]
 
 
 def test_forward_sums_all_segmentations():
-    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abc", b"bc", b" x", "é".encode(), b" abc"})
-    model = langid.fit({"l": ["abc ab xabc abé", "abcabc"], "m": ["xx xab"]}, pieces)
-    text = "Abc xab abé " + "abc" * 20
-    total, words = model.log_likelihoods(*buffer([text]))
-    assert words.tolist() == [4]
-    for k in range(2):
-        probs = {p: model.table[i, k] for i, p in enumerate(pieces)}
-        want = 0.0
-        for w in text.lower().split():
-            raw = b" " + w.encode()
-            for lo in range(0, len(raw), langid.PART_BYTES):
-                want += enumerate_log_probability(raw[lo : lo + langid.PART_BYTES], probs)
-        assert total[0, k] == pytest.approx(want, rel=1e-9)
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abc", b"bc", b" x", "é".encode(), b" abc", b"c, ", b",", b"abcabcabcabcabc"})
+    model = langid.fit({"l": Counter(t.encode() for t in "abc ab xabc abé abcabc".split()), "m": Counter([b"xx", b"xab"])}, pieces)
+    for text in ("Abc xab abé " + "abc" * 20, "abc, x\tx-9 " + "abcé" * 500):
+        for _ in range(2):  # the second time from the words kept
+            total, words = model.log_likelihoods(*buffer([text]))
+            assert words.tolist() == [len(text.split())]
+            for k in range(2):
+                probs = {p: model.table[i, k] for i, p in enumerate(pieces)}
+                want = sum(enumerate_log_probability(b" " + w.lower().encode(), probs) for w in text.split())
+                assert total[0, k] == pytest.approx(want, rel=1e-9)
     assert model.table.sum(axis=0) == pytest.approx(np.ones(2))
 
 
+def test_expectations_of_one_round_against_all_segmentations():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abc", b" abc"})
+    start = {p: 0.05 ** len(p) for p in pieces}
+    counts = {"l": {b"abc": 3, b"ba": 2}}
+    want = Counter()
+
+    def walk(word, at, used, p):
+        if at == len(word):
+            yield used, p
+        for q in pieces:
+            if word.startswith(q, at):
+                yield from walk(word, at + len(q), [*used, q], p * start[q])
+
+    for w, n in counts["l"].items():
+        found = list(walk(b" " + w, 0, [], 1.0))
+        for used, p in found:
+            for q in used:
+                want[q] += n * p / sum(x for _, x in found)
+    got = np.array([want[q] + 0.01 * 0.5 ** len(q) + 1e-4 for q in pieces])
+    model = langid.fit(counts, pieces, rounds=1)
+    assert model.table[:-1, 0] == pytest.approx(got / got.sum())
+
+
+def test_vocabulary_is_whole_and_long_texts_are_read_in_pieces(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    pieces = set(langid.load_pieces())
+    plain = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    assert all(p.replace("▁", " ").encode() in pieces for p in plain if p == p.lower())
+    model = langid.fit({"a": {b"foo": 2}, "b": {b"bar": 1}}, sorted(pieces))
+    text = "foo bar, baz\n" * 200
+    whole = model.log_likelihoods(*buffer([text]))
+    monkeypatch.setattr(langid, "SLICE", 64)
+    cut = model.log_likelihoods(*buffer([text]))
+    assert cut[0] == pytest.approx(whole[0]) and cut[1].tolist() == whole[1].tolist() == [600]
+
+
 def test_language_edge_cases(spark):
-    model = langid.fit({"a": ["foo bar foo"], "b": ["quux zap quux"]}, langid.load_pieces())
+    model = langid.fit({"a": {b"foo": 2, b"bar": 1}, "b": {b"quux": 2, b"zap": 1}}, langid.load_pieces())
     rows = [(1, None, "x"), (2, "", "x"), (3, "123 !?", "x"), (4, "foo foo bar", "x"), (5, "zap quux", None), (5, "zap quux", None), (6, "“…”", "x"), (7, LONG, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(df, model).orderBy("doc_id").collect()]
