@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Upper bound on the number of hash or range buckets that one ranking uses.
-MAX_BUCKETS = 1 << 16
+#: Buckets that one ranking uses, at most: their sums are put in order in one task. Beyond 500 million rows buckets hold
+#: more than 500 narrow rows each (100,000 at 10**11); they are only ever sorted, so that costs no more memory.
+MAX_BUCKETS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (single-machine tests) is one made and set.
+    Only where the session has none and runs on one machine (tests) is one made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -77,7 +81,7 @@ class Frame:
 
 
 def buckets_for(rows: int, per_bucket: int = 500) -> int:
-    """A power of two near rows / per_bucket, at least 16 and at most MAX_BUCKETS."""
+    """A power of two near rows / per_bucket, from 16 to MAX_BUCKETS."""
     want = max(1, rows // per_bucket)
     return int(min(MAX_BUCKETS, max(16, 1 << (want - 1).bit_length())))
 

@@ -11,7 +11,9 @@ from .common import Frame, buckets_for, shuffle_key, source_key, table
 SEED = "interleave-1"
 
 
-def interleave(docs: DataFrame, shards: int = 8, *, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text", carry: bool = True) -> DataFrame:
+def interleave(
+    docs: DataFrame, shards: int = 8, *, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text", carry: bool = True
+) -> DataFrame:
     """Deal rows into ``shards`` so that each holds every source in proportion.
 
     Rows are ranked in seeded-shuffled order within their source, sorted by fractional
@@ -19,7 +21,7 @@ def interleave(docs: DataFrame, shards: int = 8, *, seed: str = SEED, key: str =
     sizes are at most one row apart (the ``rows`` law). Ranks come from hash buckets with
     prefix sums and positions from range buckets with prefix sums; no task ever holds
     more than one bucket of a source, however large the source is. Positions are worked out
-    on ids and sources alone; whole rows are shuffled once.
+    on ids and sources alone and joined one to one; whole rows are shuffled once.
 
     Returns ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``law``, ``shard``, ``slot``
     (gapless from 0) and ``grown_shard`` (null under this law), after the input columns
@@ -33,34 +35,44 @@ def interleave(docs: DataFrame, shards: int = 8, *, seed: str = SEED, key: str =
     n_buckets = buckets_for(rows)
     hashed = shuffle_key(seed, F.col("id"))
     bucket = F.shiftright(F.col("r"), 60 - (n_buckets.bit_length() - 1))
-    ident = f.df.select(source_key(F.col(f.at(source))).alias("src"), F.col(f.at(source)).isNull().alias("last"), F.col(f.at(key)).alias("id")).withColumn("r", hashed).withColumn("b", bucket)
+    given = (source_key(F.col(f.at(source))).alias("src"), F.col(f.at(key)).alias("id"))
+    ident = f.df.select(*given, F.col(f.at(source)).isNull().alias("last")).withColumn("r", hashed).withColumn("b", bucket)
 
     # Rows of each (source, hash bucket), and how many of the source stand before it.
     counts = ident.groupBy("src", "b").agg(F.count("*").alias("n"))
     before = W.partitionBy("src").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(F.col("src").alias("o_src"), F.col("b").alias("o_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"), F.sum("n").over(W.partitionBy("src")).alias("n_src"))
+    offsets = counts.select(
+        F.col("src").alias("o_src"),
+        F.col("b").alias("o_b"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"),
+        F.sum("n").over(W.partitionBy("src")).alias("n_src"),
+    )
 
     # Ids alone fix which ranks fall where: g is the range bucket of (rank - 1/2) / n_src, in whole numbers.
     ranked = ident.join(offsets, (F.col("src") == F.col("o_src")) & (F.col("b") == F.col("o_b")))
     ranked = ranked.withColumn("rank", F.col("off") + F.row_number().over(W.partitionBy("src", "b").orderBy("r", "id")))
-    ranked = ranked.select("src", "last", "b", "rank", "n_src", F.expr(f"((2 * rank - 1) * {n_buckets}L) div (2 * n_src)").alias("g"))
+    place = F.expr(f"cast(((2 * rank - 1) * cast({n_buckets} as decimal(20,0))) div (2 * n_src) as bigint)")
+    ranked = ranked.select("src", "id", "last", "rank", "n_src", place.alias("g"))
     heights = ranked.groupBy("g").agg(F.count("*").alias("n"))
-    starts = heights.select(F.col("g").alias("s_g"), F.coalesce(F.sum("n").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    upto = W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)
+    starts = heights.select(F.col("g").alias("s_g"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
     within = W.partitionBy("g").orderBy((2 * F.col("rank") - 1) / (2 * F.col("n_src")), "last", "src", "rank")
     placed = ranked.join(starts, F.col("g") == F.col("s_g")).withColumn("pos", F.col("start") + F.row_number().over(within) - 1)
-    # The positions of a bucket's rows, in order of rank; a bucket is bounded, and the rows themselves move once, to their bucket.
-    slots = placed.groupBy(F.col("src").alias("p_src"), F.col("b").alias("p_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"]).alias("positions"))
+    # One position for each row of an id: repeated ids take theirs in order of content.
+    named = source_key(F.col("id")).alias("name")
+    slots = placed.select(F.col("src").alias("p_src"), named.alias("p_name"), "rank", "pos")
+    slots = slots.withColumn("p_nth", F.row_number().over(W.partitionBy("p_src", "p_name").orderBy("rank"))).drop("rank")
 
     body = f.df.select(
         *([F.struct("*").alias("row")] if carry else []),
-        source_key(F.col(f.at(source))).alias("src"),
-        F.col(f.at(key)).alias("id"),
+        *given,
         (F.coalesce(F.octet_length(f.at(text)), F.lit(0)) + 1).cast("long").alias("sz"),
         F.coalesce(F.crc32(f.at(text)), F.lit(0)).cast("long").alias("crc"),
-    ).withColumn("r", hashed).withColumn("b", bucket)
-    here = body.join(slots, (F.col("src") == F.col("p_src")) & (F.col("b") == F.col("p_b")))
-    nth = F.row_number().over(W.partitionBy("src", "b").orderBy("r", "id", "crc", "sz"))
-    placed = here.withColumn("nth", nth).withColumn("pos", F.element_at("positions", F.col("nth")))
+    ).withColumn("name", named)
+    body = body.withColumn("nth", F.row_number().over(W.partitionBy("src", "name").orderBy("crc", "sz")))
+    # The difference keeps the number out of the join's key, so rows stay where the window has put them.
+    same = (F.col("src") == F.col("p_src")) & (F.col("name") == F.col("p_name")) & (F.col("nth") - F.col("p_nth") == 0)
+    placed = body.join(slots, same)
     total = max(rows, 1)
     shard = F.expr(f"(pos * {shards}L) div {total}L")
     first = F.expr(f"(((pos * {shards}L) div {total}L) * {total}L + {shards - 1}L) div {shards}L")

@@ -39,4 +39,4 @@ def test_buffers_of_slices_nulls_and_wide_strings():
         assert [data[s:e].tobytes().decode() for s, e in zip(offs, offs[1:], strict=False)] == ["é", "", "", "xyz"]
     assert text_buffer(pa.array([], pa.string()))[1].tolist() == [0]
     assert list(slices(np.array([0, 5, 6, 20, 21]), 7)) == [(0, 2), (2, 3), (3, 4)]
-    assert buckets_for(0) == 16 and buckets_for(10**9) == 1 << 16
+    assert buckets_for(0) == 16 and buckets_for(10**9) == 1 << 20 == buckets_for(10**12)
