@@ -36,13 +36,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return df.select("src", "s", "w", "level", F.least("cap", F.col("w") * F.col("level")).alias("target"))
 
 
+#: Distinct virtual times that are put in order in one task to find the cut.
+ORDERED = 100_000
+
+
 def schedule(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: float = 1.5, most: int = 2, key: str = "doc_id", source: str = "source", text: str = "text"):
-    """Narrow rows (id, src, sz, r, b), source targets, bucket offsets and the virtual time of the cut.
+    """Timed rows (id, sz, cum, s, w, target), bucket offsets, the virtual time of the cut and the number of buckets.
 
     A document's virtual finish is (words of its source up to it, in seeded order, plus the
     earlier rounds) / weight. The queue is cut at the largest virtual time at which all words
-    before it stay within the budget: range buckets of virtual time are summed first, and only
-    the bucket that holds the cut is put in order.
+    before it stay within the budget: range buckets of virtual time are summed, the bucket that
+    holds the cut is divided again until it is small, and only that one is put in order.
     """
     f = Frame(docs)
     n_buckets = buckets_for(docs.count())
@@ -59,21 +63,34 @@ def schedule(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: float
     offsets = per.select(F.col("src").alias("o_src"), source_key(F.col("src")).alias("o_key"), F.col("b").alias("o_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     offsets = offsets.join(targets.withColumnRenamed("src", "t_src"), F.col("o_src").eqNullSafe(F.col("t_src"))).drop("t_src", "o_src")
     top = targets.agg(F.max(F.lit(float(most)) * F.col("s") / F.col("w")).alias("v"), (F.sum("s") * F.lit(float(share))).alias("budget")).head()
+    rows = materialise(finished(slim, offsets).select("id", "sz", "cum", "s", "w", "target"), "mix-timed")
     if not top or not top["v"]:
-        return slim, offsets, None
-    timed = finished(slim, offsets).select("sz", F.explode(F.array(*[F.lit(e) for e in range(most)])).alias("e"), "cum", "s", "w")
-    timed = timed.select("sz", ((F.col("cum") + F.col("e") * F.col("s")) / F.col("w")).alias("v")).withColumn("g", F.floor(F.col("v") / F.lit(top["v"]) * n_buckets))
-    heights = timed.groupBy("g").agg(F.sum("sz").alias("n"))
-    run = heights.select("g", "n", F.sum("n").over(W.orderBy("g")).alias("upto"))
-    over = run.filter(F.col("upto") > F.lit(top["budget"])).orderBy("g").limit(1).head()
-    if over is None:
-        return slim, offsets, float(top["v"])
-    inside = timed.filter(F.col("g") == F.lit(over["g"])).groupBy("v").agg(F.sum("sz").alias("n"))
-    spent = F.lit(over["upto"] - over["n"]) + F.sum("n").over(W.orderBy("v"))
-    last = inside.select("v", spent.alias("spent")).filter(F.col("spent") <= F.lit(top["budget"])).agg(F.max("v").alias("v")).head()["v"]
-    if last is None:
-        last = timed.filter(F.col("g") < F.lit(over["g"])).agg(F.max("v").alias("v")).head()["v"]
-    return slim, offsets, float(last) if last is not None else -1.0
+        return rows, offsets, None, n_buckets
+    timed = rows.select("sz", F.explode(F.array(*[F.lit(e) for e in range(most)])).alias("e"), "cum", "s", "w")
+    timed = timed.select("sz", ((F.col("cum") + F.col("e") * F.col("s")) / F.col("w")).alias("v"))
+    return rows, offsets, cut_time(timed, float(top["v"]), float(top["budget"]), n_buckets), n_buckets
+
+
+def cut_time(timed: DataFrame, top: float, budget: float, n_buckets: int) -> float:
+    """The largest virtual time (v) up to which the sizes (sz) of ``timed`` stay within ``budget``; -1.0 where none does."""
+    low, high, spent, best = 0.0, top, 0, -1.0
+    while True:
+        part = timed.filter((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        g = F.floor((F.col("v") - F.lit(low)) / F.lit(max(high - low, 1e-300)) * n_buckets)
+        heights = part.groupBy(g.alias("g")).agg(F.sum("sz").alias("n"), F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        run = heights.withColumn("upto", F.lit(spent) + F.sum("n").over(W.orderBy("g"))).withColumn("before", F.max("hi").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)))
+        over = run.filter(F.col("upto") > F.lit(budget)).orderBy("g").limit(1).head()
+        if over is None:
+            return high
+        best = over["before"] if over["before"] is not None else best
+        spent = over["upto"] - over["n"]
+        if over["rows"] <= ORDERED or over["lo"] == over["hi"] or (over["lo"], over["hi"]) == (low, high):
+            break
+        low, high = over["lo"], over["hi"]
+    inside = timed.filter((F.col("v") >= F.lit(over["lo"])) & (F.col("v") <= F.lit(over["hi"]))).groupBy("v").agg(F.sum("sz").alias("n"))
+    run = inside.select("v", (F.lit(spent) + F.sum("n").over(W.orderBy("v"))).alias("spent"))
+    last = run.filter(F.col("spent") <= F.lit(budget)).agg(F.max("v").alias("v")).head()["v"]
+    return float(last if last is not None else best)
 
 
 def finished(rows: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -97,16 +114,17 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     A null or wordless text has size 0 and is never taken. Null sources form one source, last
     in order. Repeated rows are separate documents. An empty table, or one without words, takes nothing.
     """
-    slim, offsets, cut = schedule(docs, **options)
-    rows = finished(slim, offsets)
+    rows, _, cut, _ = schedule(docs, **options)
     return rows.select(F.col("id").alias("doc_id"), F.col("sz").alias("size"), F.col("s").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("sz") * copies(cut)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, *, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mixture itself: documents with their own columns, each as often as the queue takes it (0, 1 or 2 times)."""
+    """The mixture itself: documents with their own columns, each as often as the queue takes it (0, 1 or 2 times).
+
+    Columns may bear any names, also those used inside; null, wordless and repeated rows as in ``mix_report``.
+    """
     f = Frame(docs)
-    slim, offsets, cut = schedule(docs, seed=seed, key=key, source=source, text=text, **options)
-    n_buckets = buckets_for(docs.count())
+    _, offsets, cut, n_buckets = schedule(docs, seed=seed, key=key, source=source, text=text, **options)
     full = f.df.select(
         F.struct("*").alias("row"),
         F.col(f.at(key)).alias("id"),

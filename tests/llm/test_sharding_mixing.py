@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+from chronoloom.llm import mixing
 from chronoloom.llm.mixing import mix, mix_report, source_targets
 from chronoloom.llm.sharding import interleave
 
@@ -82,3 +83,27 @@ def test_mix_of_nothing(spark):
     empty = docs(spark, [(1, None, "a", 1), (2, "  ", None, 1)])
     assert [(r.taken, r.target) for r in mix_report(empty).collect()] == [(0, 0.0)] * 2
     assert mix(empty).count() == 0
+
+
+def test_the_cut_is_found_by_dividing_the_bucket_that_holds_it(spark, monkeypatch):
+    """Most times lie close together, so the first range buckets hold nearly all of them."""
+    monkeypatch.setattr(mixing, "ORDERED", 3)
+    times = sorted([0.001 + i * 1e-7 for i in range(500)] + [0.001] * 40 + [10.0**k for k in range(5)])
+    rows = [(i % 5 + 1, v) for i, v in enumerate(times)]
+    timed = spark.createDataFrame(rows, "sz long, v double")
+    for budget in (0, 1, 3, 17, 119, 400, 1200.5, 1640, sum(z for z, _ in rows) - 3, 10**6):
+        spent = {}
+        for z, v in rows:
+            spent[v] = spent.get(v, 0) + z
+        want, total = -1.0, 0
+        for v in sorted(spent):
+            total += spent[v]
+            want = v if total <= budget else want
+        assert mixing.cut_time(timed, max(times), float(budget), 16) == want, budget
+
+
+def test_repeated_ids_get_each_a_position(spark):
+    rows = [(7, f"t{i % 3}", "a", i) for i in range(200)] + [(None, None, None, i) for i in range(50)] + [(i, "x", "a", i) for i in range(100)]
+    got = interleave(docs(spark, rows), 8).collect()
+    assert sorted(r.shard for r in got) == sorted(int(p * 8 // 350) for p in range(350))
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(r[:3] for r in rows)
