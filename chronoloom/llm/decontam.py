@@ -25,7 +25,7 @@ NONZEROS = 2
 PASSAGE = 32
 #: Words summed at once, and window lengths: windows begin every quarter of their length, so any stretch of
 #: that length lies within an eighth of one. An item is matched at the length nearest its own.
-STEP, WINDOWS = 4, (16, 32, 48)
+STEP, WINDOWS = 4, (4, 8, 16, 32, 48)
 #: Cosine from which a window is compared with an item word by word.
 COSINE = 0.5
 #: Share of a window's idf weight that must lie on the item's terms before words are compared in order.
@@ -34,8 +34,8 @@ OVERLAP = 0.4
 COPY, PARAPHRASE = 0.75, 0.5
 #: Without an answer column, an item's answer is taken to be its rarest words, so many; this share must be present.
 ANSWER_WORDS, ANSWER_SHARE = 6, 0.6
-#: Items that one pass over the documents carries (broadcast).
-BLOCK_ITEMS = 20_000
+#: Windows of items that one pass over the documents carries (broadcast, 2 kB each); an item beyond that stands alone.
+BLOCK_PARTS = 16_384
 
 
 def terms(hashes: np.ndarray) -> np.ndarray:
@@ -75,9 +75,9 @@ def sketch(docs: DataFrame, *, text: str = "text", seed: int = 11) -> tuple[np.n
 
     With T the passages' term counts and G a sparse random matrix, every task adds up T'(TG) and the
     passage frequency of each term over the rows it reads; the sums of the tasks meet by term.
-    What reaches the driver is terms x (dimensions + 1) numbers, whatever the corpus.
+    A task's sums are 2 MB whatever it reads, and are shuffled once; what reaches the driver is terms x
+    (dimensions + 1) numbers, whatever the corpus.
     """
-    spark = docs.sparkSession
     f = Frame(docs)
     columns, signs = sparse_signs(seed)
 
@@ -108,9 +108,7 @@ def sketch(docs: DataFrame, *, text: str = "text", seed: int = 11) -> tuple[np.n
     ys = [f"y{k}" for k in range(DIMENSIONS)]
     schema = "term int, df long, " + ", ".join(f"{y} float" for y in ys)
     slim = f.df.select(F.col(f.at(text)).cast("string").alias("text"))
-    # As many tasks as the cluster runs at once need to add up; more would only shuffle more sums.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    got = slim.coalesce(tasks).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(F.col(y).cast("double")).alias(y) for y in ys]).toArrow()
+    got = slim.mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(F.col(y).cast("double")).alias(y) for y in ys]).toArrow()
     back, df, passages = np.zeros((1 << TERM_BITS, DIMENSIONS)), np.zeros(1 << TERM_BITS), 0
     at = got["term"].to_numpy()
     real = at >= 0
@@ -161,6 +159,7 @@ class Item:
     words: list[int]
     masks: dict[int, int]
     answer: frozenset
+    given: bool
 
 
 @dataclass
@@ -201,12 +200,12 @@ def make_probe(space: Space, rows: list[tuple]) -> Probe:
             parts[size].append(part)
             if len(words) <= size * 3 // 2:
                 break
-        items.append(Item(item_id, words, masks, key))
+        items.append(Item(item_id, words, masks, key, bool(answer)))
     holds = {}
     for size, some in parts.items():
-        holds[size] = np.zeros((len(some), 1 << TERM_BITS), bool)
+        holds[size] = np.zeros((len(some), 1 << TERM_BITS - 3), np.uint8)
         for i, part in enumerate(some):
-            holds[size][i, part] = True
+            np.bitwise_or.at(holds[size][i], part >> 3, np.uint8(1) << (part & 7).astype(np.uint8))
     return Probe(space, items, {k: unit(np.array(v, np.float32)) for k, v in vectors.items()}, {k: np.array(v) for k, v in owner.items()}, holds)
 
 
@@ -238,7 +237,8 @@ def find_leaks(data: np.ndarray, offs: np.ndarray, probe: Probe) -> list[tuple]:
                 inside = words < w.first[text_of[b[rr]] + 1][:, None]
                 words = np.minimum(words, len(ids) - 1)
                 gain = weight[words] * inside
-                hit = probe.holds[size][cc[:, None], ids[words]]
+                held = ids[words]
+                hit = probe.holds[size][cc[:, None], held >> 3] >> (held & 7).astype(np.uint8) & np.uint8(1)
                 for i in np.flatnonzero(np.einsum("ij,ij->i", gain, hit) >= OVERLAP * gain.sum(axis=1)):
                     block = b[rr[i]]
                     near[int(text_of[block]), int(probe.owner[size][cc[i]])].append((float(scores[rr[i], cc[i]]), int(starts[block]), size))
@@ -258,7 +258,9 @@ def find_leaks(data: np.ndarray, offs: np.ndarray, probe: Probe) -> list[tuple]:
             if best is None or common > best[0]:
                 best = (common, cosine, lo, hi, segment)
         common, cosine, lo, hi, segment = best
-        kind = "copy" if common >= COPY else "paraphrase" if common >= PARAPHRASE and len(item.answer & set(segment)) >= ANSWER_SHARE * len(item.answer) else None
+        answered = len(item.answer & set(segment)) >= ANSWER_SHARE * len(item.answer)
+        alike = "paraphrase with answer" if item.given else "paraphrase with rarest words"
+        kind = "copy" if common >= COPY else alike if common >= PARAPHRASE and answered else None
         if kind:
             hit = [i for i in range(lo, hi) if int(w.hash[i]) in item.masks]
             out.append((row, item.id, common, cosine, int(w.start[hit[0]] - offs[row]), int(w.end[hit[-1]] - offs[row]), kind))
@@ -266,16 +268,18 @@ def find_leaks(data: np.ndarray, offs: np.ndarray, probe: Probe) -> list[tuple]:
 
 
 def probes(space: Space, benchmark: DataFrame, *, key: str = "item_id", text: str = "text", answer: str = "answer") -> Iterator[Probe]:
-    """The benchmark in blocks of BLOCK_ITEMS items, in order of key."""
+    """The benchmark in blocks of BLOCK_PARTS windows, in order of key."""
     f = Frame(benchmark)
     has = any(n.lower() == answer for n in f.names)
     rows = f.df.select(F.col(f.at(key)).cast("long").alias("k"), F.col(f.at(text)).cast("string").alias("t"), (F.col(f.at(answer)).cast("string") if has else F.lit(None).cast("string")).alias("a")).distinct().orderBy("k", "t", "a")
-    block = []
+    block, parts = [], 0
     for r in rows.toLocalIterator():
-        block.append((r["k"], r["t"], r["a"]))
-        if len(block) == BLOCK_ITEMS:
+        more = 1 + len((r["t"] or "").split()) // min(WINDOWS[-1], 24)
+        if block and parts + more > BLOCK_PARTS:
             yield make_probe(space, block)
-            block = []
+            block, parts = [], 0
+        block.append((r["k"], r["t"], r["a"]))
+        parts += more
     if block:
         yield make_probe(space, block)
 
@@ -287,8 +291,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     """Every (document, benchmark item) where the item stands in the document, as a copy or a paraphrase, with its byte range.
 
     All windows of all whole texts are searched; texts are read twice (fit, search) and never
-    shuffled. Null and empty texts or items match nothing; repeated documents are listed each time; an empty
-    benchmark or table gives no row.
+    shuffled. ``kind`` says what was checked: the item's words in order alone (copy), or half of them and the
+    answer, or, where the benchmark has none, the item's rarest words. Null and empty texts or items
+    match nothing; repeated documents are listed each time; columns may bear any names; an empty benchmark or
+    table gives no row.
     """
     spark, f = docs.sparkSession, Frame(docs)
     slim = f.df.select(F.col(f.at(key)).cast("long").alias("id"), F.col(f.at(text)).cast("string").alias("text"))
@@ -310,9 +316,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents in which no benchmark item stands, with all their columns."""
+    """The documents in which no benchmark item stands, with all their columns, whatever their names.
+
+    Null and empty texts stay, and so do repeated rows; an empty benchmark keeps all.
+    """
     f = Frame(docs)
-    out, at = f.df, f.names.index(text)
+    out, at = f.df, int(f.at(text)[1:])
     for probe in probes(fit_space(docs, text=text), benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(probe)
 
