@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,18 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Frame, materialise, table
+from .common import Frame, first_by_hash, materialise, table
 
-#: Vectors that the tree is fitted on, at most; every vector is indexed.
+#: Vectors that one k-means tree is fitted on, at most; every vector is indexed.
 FIT_ROWS = 20_000
 BRANCH = 8
-#: Vectors of a leaf that the fit aims at, and of a block of a leaf when searching.
-LEAF_ROWS = 2_000
+#: Fewest and most vectors that a leaf aims at; between them the size follows the square root of the number of vectors.
+LEAF_LEAST, LEAF_MOST = 64, 4_096
+#: Vectors of a leaf that one task holds when searching.
 BLOCK_ROWS = 4_096
 #: Mean recall that calibration asks of held-out queries.
 RECALL = 0.95
 
 
+def leaf_rows_for(total: int) -> int:
+    return int(min(LEAF_MOST, max(LEAF_LEAST, 4 * total**0.5)))
+
+
 class Tree:
     """k-means tree: ``centres[node]``, ``kids[node]`` (empty: leaf), ``leaf[node]``."""
 
@@ -49,6 +55,17 @@ class Tree:
                     self.leaf.append(-1)
         self.centres = np.array(self.centres)
 
+    def graft(self, leaf: int, sub: Tree) -> None:
+        """Put another tree in the place of a leaf; its first leaf takes the number, the others follow the last."""
+        at, base = self.leaf.index(leaf), len(self.centres) - 1
+        numbers = [leaf, *range(self.leaves, self.leaves + sub.leaves - 1)]
+        moved = [numbers[x] if x >= 0 else -1 for x in sub.leaf]
+        self.kids[at], self.leaf[at] = [k + base for k in sub.kids[0]], moved[0]
+        self.centres = np.concatenate([self.centres, sub.centres[1:]])
+        self.kids += [[k + base for k in kids] for kids in sub.kids[1:]]
+        self.leaf += moved[1:]
+        self.leaves += sub.leaves - 1
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector, by nearest centre level by level."""
         out = np.zeros(len(x), np.int32)
@@ -116,73 +133,133 @@ def valid(vec: str) -> str:
     return f"{vec} is not null and size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vec}, x -> x <> 0)"
 
 
-def search(vectors: DataFrame, *, k: int = 20, every: int = 20, key: str = "vec_id", vec: str = "embedding", fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS, recall: float = RECALL) -> DataFrame:
-    """The ``k`` nearest rows (largest inner product) of every row whose key is divisible by ``every``: query_id, rank, vec_id, score.
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
 
-    The tree is fitted on at most ``fit_rows`` vectors (by hash order) and bounded in size by
-    them, so it is broadcast; every vector is indexed. Equal vectors are one entry with its k + 1
-    smallest ids (more can never be returned), so copies of any number cost one row. Leaves
-    are split into blocks of bounded size, queries of a leaf too. Each query's own row is left out.
+def search(vectors: DataFrame, *, k: int = 20, every: int = 20, key: str = "vec_id", vec: str = "embedding", fit_rows: int = FIT_ROWS, leaf_rows: int | None = None, recall: float = RECALL) -> DataFrame:
+    """The ``k`` nearest rows (largest inner product) of every row whose key is divisible by ``every``: query_id, rank, vec_id, score.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
-    do those of another length than most. A null key takes no part; repeated keys with one
-    vector count once. With fewer than k candidates all are returned. No rows: empty result.
+    The tree is fitted on at most ``fit_rows`` vectors (by hash order); leaves that are too large once
+    every vector is indexed get a tree of their own, fitted likewise, so leaves do not grow with the table. Equal
+    vectors are one entry with its k + 1 smallest ids (more can never be returned), so copies of any
+    number cost one row. A query widens its visits best bin first: to the calibrated number of
+    leaves, and on until they hold k + 1 entries. Stored vectors move once, to their leaf's block of
+    bounded size; queries stream past each block. Each query's own row is left out.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part. An inner
+    product asks for equal lengths: vectors of each length are searched among themselves. A null key
+    takes no part; repeated keys with one vector count once. With fewer than k candidates
+    all are returned. Columns may bear any names. No rows: empty result.
     """
     f = Frame(vectors)
-    spark = vectors.sparkSession
     rows = f.df.select(F.col(f.at(key)).cast("long").alias("id"), F.col(f.at(vec)).cast("array<double>").alias("v")).filter("id is not null").filter(valid("v"))
-    dims = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).head()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    dim = dims["n"]
-    rows = rows.filter(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("v"))
+    out = vectors.sparkSession.createDataFrame([], SCHEMA)
+    for r in sorted(rows.groupBy(F.size("v").alias("n")).count().collect()):
+        out = out.unionByName(search_length(rows.filter(F.size("v") == r["n"]), r["n"], k, every, fit_rows, leaf_rows, recall))
+    return out
+
+
+def grown(tree: Tree, entries: DataFrame, sizes: dict[int, int], dim: int, fit_rows: int, leaf_rows: int) -> bool:
+    """Graft a tree onto every leaf of more than four times ``leaf_rows``, each fitted in a task of its own on at most ``fit_rows`` of its vectors."""
+    large = sorted(leaf for leaf, n in sizes.items() if n > 4 * leaf_rows)
+    if not large:
+        return False
+    drawn = first_by_hash(entries.filter(F.col("leaf").isin(large)).select("leaf", "h", "v"), "leaf", "h", fit_rows).select("leaf", "v")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(pdf["leaf"].iloc[0])
+        own = np.stack(pdf["v"].to_numpy())[np.lexsort(np.stack(pdf["v"].to_numpy()).T)]
+        return pd.DataFrame({"leaf": [leaf], "tree": [pickle.dumps(Tree(own, max(2, leaf_rows * len(own) // sizes[leaf] + 1)))]})
+
+    subs = {r["leaf"]: pickle.loads(r["tree"]) for r in drawn.groupBy("leaf").applyInPandas(fit, "leaf int, tree binary").toLocalIterator()}
+    for leaf in large:
+        if leaf in subs:
+            tree.graft(leaf, subs[leaf])
+    return any(sub.leaves > 1 for sub in subs.values())
+
+
+def search_length(rows: DataFrame, dim: int, k: int, every: int, fit_rows: int, leaf_rows: int | None, recall: float) -> DataFrame:
+    """``search`` over (id, v) rows of one length."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("v"))
     # The window's row limit is applied before the shuffle too, so a vector's ids are never gathered whole.
     first = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy("h", "v").orderBy("id"))).filter(f"n <= {k + 1}")
     entries = materialise(first.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     asked = materialise(rows.filter(f"id % {every} = 0").select("id", "h", "v").distinct(), "queries")
     total = entries.count()
+    leaf_rows = leaf_rows or leaf_rows_for(total)
     sample = entries.select("v", F.xxhash64("h").alias("o")).orderBy("o", "v").limit(fit_rows).select("v").toArrow()["v"].combine_chunks()
     sample = as_matrix(sample, dim)
     tree = Tree(sample, max(2, min(leaf_rows, leaf_rows * len(sample) // max(total, 1) + 1)))
+    placed = "v array<double>, h long, ids array<long>, leaf int"
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf = shared.value.assign(as_matrix(batch.column(0), dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["v", "h", "ids", "leaf"])
+
+        indexed = materialise(entries.select("v", "h", "ids").mapInArrow(place, placed), "leaves")
+        sizes = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+        if not grown(tree, indexed, sizes, dim, fit_rows, leaf_rows):
+            break
     visits = calibrate(tree, sample, k, recall)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = shared.value.assign(as_matrix(batch.column(0), dim))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["v", "h", "ids", "leaf"])
-
-    indexed = materialise(entries.select("v", "h", "ids").mapInArrow(place, "v array<double>, h long, ids array<long>, leaf int"), "leaves")
-    sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    aim_at = spark.sparkContext.broadcast((tree, np.array([sizes.get(x, 0) for x in range(tree.leaves)])))
     # Queries with equal vectors are searched once, under the smallest of their ids.
     unique = materialise(asked.groupBy("h", "v").agg(F.min("id").alias("q")), "asked")
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held = aim_at.value
+        for batch in batches:
+            which, leaves, blocks = [], [], []
+            for i, q in enumerate(as_matrix(batch.column(1), dim)):
+                seen = found = 0
+                for leaf in tree.visit(q):
+                    if seen >= visits and found > k:
+                        break
+                    seen, found = seen + 1, found + held[leaf]
+                    n = -(-held[leaf] // BLOCK_ROWS)
+                    which += [i] * n
+                    leaves += [leaf] * n
+                    blocks += range(n)
+            at = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(blocks, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "block", "q", "v"])
+
+    aimed = unique.select("q", "v").mapInArrow(aim, "leaf int, block int, q long, v array<double>").select("leaf", "block", "q", "v", F.lit(None).cast("array<long>").alias("ids"))
+    counts = spark.createDataFrame([(int(x), -(-n // BLOCK_ROWS)) for x, n in sizes.items()], "leaf int, blocks int")
+    stored = indexed.join(F.broadcast(counts), "leaf").select("leaf", F.pmod("h", "blocks").cast("int").alias("block"), F.lit(None).cast("long").alias("q"), "v", "ids")
+    met = stored.unionByName(aimed).repartition("leaf", "block").sortWithinPartitions("leaf", "block", F.col("q").asc_nulls_first())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block, stored vectors before queries: one block is held, queries stream past it."""
+        here, points, ids, joined = None, [], [], None
         for batch in batches:
-            x = as_matrix(batch.column(1), dim)
-            first = [[leaf for _, leaf in zip(range(visits), shared.value.visit(q), strict=False)] for q in x]
-            which = pa.array(np.repeat(np.arange(len(x)), [len(v) for v in first]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array([leaf for v in first for leaf in v], pa.int32())], names=["q", "v", "leaf"])
-
-    parts = max(1, total // 200_000)
-    aimed = unique.select("q", "v").mapInArrow(aim, "q long, v array<double>, leaf int").withColumn("part", F.expr(f"cast(pmod(xxhash64(q), {parts}) as int)"))
-    aimed = aimed.join(sizes, "leaf").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("leaf", "block", "part", "q", "v")
-    stored = indexed.join(sizes, "leaf").withColumn("block", F.expr("cast(pmod(h, blocks) as int)")).withColumn("part", F.explode(F.expr(f"sequence(0, {parts - 1})"))).select("leaf", "block", "part", "v", "ids")
-
-    def best(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "leaf": [], "ids": [], "scores": []}
-        if len(queries) and len(points):
-            ids, scores = nearest(np.stack(queries["v"].to_numpy()), np.stack(points["v"].to_numpy()), points["ids"].to_numpy(), k + 1)
-            out = {"q": queries["q"], "leaf": queries["leaf"], "ids": ids, "scores": scores}
-        return pd.DataFrame(out)
-
-    found = aimed.groupBy("leaf", "block", "part").cogroup(stored.groupBy("leaf", "block", "part")).applyInPandas(best, "q long, leaf int, ids array<long>, scores array<double>")
-    # Lists of k + 1 are merged leaf by leaf, then over the leaves; a merged list is no longer than its parts.
+            if not len(batch):
+                continue
+            leaf, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | (block[1:] != block[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if (leaf[lo], block[lo]) != here:
+                    here, points, ids, joined = (leaf[lo], block[lo]), [], [], None
+                part = batch.slice(lo, hi - lo)
+                n = part.column(2).null_count
+                if n:
+                    points.append(as_matrix(part.column(3).slice(0, n), dim))
+                    ids += part.column(4).slice(0, n).to_pylist()
+                    joined = None
+                if n == len(part) or not ids:
+                    continue
+                if joined is None:
+                    joined = np.concatenate(points)
+                near, scores = nearest(as_matrix(part.column(3).slice(n), dim), joined, ids, k + 1)
+                yield pa.RecordBatch.from_arrays([part.column(2).slice(n), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], names=["q", "ids", "scores"])
+
+    found = met.mapInArrow(scan, "q long, ids array<long>, scores array<double>")
+    # Lists of k + 1 are merged in two steps, so one query's lists never meet unmerged; a merged list is no longer than its parts.
     pairs = F.arrays_zip((F.transform("scores", lambda x: -x)).alias("s"), F.col("ids").alias("i"))
     merged = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k + 1)
-    per_leaf = found.select("q", "leaf", pairs.alias("near")).groupBy("q", "leaf").agg(merged("near").alias("near"))
-    lists = per_leaf.groupBy("q").agg(merged("near").alias("near"))
+    lists = found.select("q", F.spark_partition_id().alias("p"), pairs.alias("near")).groupBy("q", "p").agg(merged("near").alias("near")).groupBy("q").agg(merged("near").alias("near"))
     of = unique.select(F.col("h").alias("u_h"), F.col("v").alias("u_v"), "q").join(lists, "q").drop("q")
     hits = asked.join(of, (F.col("h") == F.col("u_h")) & (F.col("v") == F.col("u_v")))
     own = F.slice(F.filter("near", lambda x: x["i"] != F.col("id")), 1, k)

@@ -117,15 +117,43 @@ def test_search_of_odd_vectors(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 0, 0.0)]
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.filter("vec_id = 2")).count() == 0
+    more = df.unionByName(spark.createDataFrame([(60, [2.0]), (8, [-3.0])], "vec_id long, embedding array<float>"))
+    one = [(r["rank"], r.vec_id, r.score) for r in ann.search(more).filter("query_id = 60").orderBy("rank").collect()]
+    assert one == [(1, 6, 2.0), (2, 8, -6.0)]  # vectors of one length are searched among themselves
+
+
+def test_leaves_that_outgrow_the_sample_are_split(spark, monkeypatch):
+    made = []
+    graft = ann.Tree.graft
+    monkeypatch.setattr(ann.Tree, "graft", lambda self, leaf, sub: (graft(self, leaf, sub), made.append(self))[0])
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2500, 8))
+    ids = list(range(2500))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in ids], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, fit_rows=60, leaf_rows=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert made and made[-1].leaves > 60
+    assert sorted(set(made[-1].leaf) - {-1}) == list(range(made[-1].leaves))
+    assert sorted(made[-1].visit(x[0])) == list(range(made[-1].leaves))
+    assert all([r for r, _ in sorted(near)] == list(range(1, 21)) for near in got.values()) and len(got) == 125
+    want = brute(x, ids, [i for i in ids if i % 20 == 0], 20)
+    assert sum(len({v for _, v in got[q]} & {v for v, _ in near}) for q, near in want.items()) / (20 * len(want)) > 0.5
 
 
-def test_query_recall(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_query_recall(spark, monkeypatch, sf):
+    trees = []
+    calibrate = ann.calibrate
+    monkeypatch.setattr(ann, "calibrate", lambda tree, *a, **o: (trees.append(tree), calibrate(tree, *a, **o))[1])
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
     want = brute(x, ids, [i for i in ids if i % 20 == 0], 20)
     got = {}
-    for r in ann.op5_ann(spark, DATA).collect():
+    for r in ann.op5_ann(spark, f"/root/testdata/{sf}").collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert trees[0].leaves > 4
     assert sum(len(got[q] & {v for v, _ in near}) for q, near in want.items()) / (20 * len(want)) >= 0.9
 
 
