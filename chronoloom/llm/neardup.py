@@ -266,8 +266,8 @@ def open_pairs(shared: DataFrame, nodes: DataFrame, groups: DataFrame, similarit
     return both.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct()
 
 
-def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, radius: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, d) of every document, d being the digest of its word sequence, and links (a, b) between digests that connect all similar texts.
+def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, radius: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, d) of every document, d being the digest of its word sequence, (d, rep) with its smallest id, and links (a, b) between digests that connect all similar texts.
 
     First candidates: SimHashes within ``radius`` bits through covering LSH, and each prefix bucket's members with its
     pivot (the member with the fewest rare shingles, the original among its copies). They cost a row
@@ -292,16 +292,18 @@ def similar_links(docs: DataFrame, *, words: int = WORDS, similarity: float = SI
     groups = components(checked(pairs))
     more = materialise(open_pairs(shared, nodes, groups, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     star = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return own.select("id", "d"), star if more.isEmpty() else star.unionByName(checked(more))
+    return own.select("id", "d"), nodes.select("d", "rep"), star if more.isEmpty() else star.unionByName(checked(more))
 
 
 def duplicate_ids(docs: DataFrame, **options) -> DataFrame:
     """(id, component) of every document that is not the smallest id of its group of near duplicates."""
-    of, links = similar_links(docs, **options)
-    comps = components(links)
-    labelled = of.join(comps, F.col("d") == F.col("node"), "left").select("id", F.coalesce("component", "d").alias("c"))
-    least = labelled.groupBy(F.col("c").alias("k")).agg(F.min("id").alias("component"))
-    return labelled.join(least, F.col("c") == F.col("k")).filter("id <> component").select("id", "component").distinct()
+    of, nodes, links = similar_links(docs, **options)
+    # Distinct texts find their group's smallest id first; the tables end between the steps, so that joins on a large group can be split.
+    grouped = materialise(nodes.join(components(links), F.col("d") == F.col("node")).select("d", "rep", F.col("component").alias("c")), "grouped")
+    least = materialise(grouped.groupBy(F.col("c").alias("k")).agg(F.min("rep").alias("least")), "least")
+    named = materialise(grouped.join(least, F.col("c") == F.col("k")).select(F.col("d").alias("n_d"), "least"), "named")
+    firsts = materialise(nodes.join(named, F.col("d") == F.col("n_d"), "left").select(F.col("d").alias("f_d"), F.coalesce("least", "rep").alias("component")), "firsts")
+    return of.join(firsts, F.col("d") == F.col("f_d")).filter("id <> component").select("id", "component").distinct()
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
