@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import Frame, materialise, table
 
 #: Records of one archive file, by id range.
 FILE_IDS = 500
@@ -35,16 +35,34 @@ def record_text(record_id: Column, url: Column, payload: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+#: Files over which records without an id are spread, by digest.
+NAMELESS_FILES = 4_096
+
+
+def records_of(pages: DataFrame, file_ids: int, *more: Column) -> DataFrame:
+    """page_id, file_no, length and digest of every page's record, and columns made of ``rec``."""
+    f = Frame(pages)
+    rec = record_text(f.col("page_id"), f.col("url"), f.col("html"))
+    rows = f.df.select(f.col("page_id").alias("page_id"), rec.alias("rec"))
+    digest = F.sha2("rec", 256)
+    nameless = -1 - F.conv(F.substring(digest, 1, 3), 16, 10).cast("long") % NAMELESS_FILES
+    number = F.coalesce(F.floor(F.col("page_id") / file_ids).cast("long"), nameless).alias("file_no")
+    return rows.select("page_id", number, F.octet_length("rec").cast("long").alias("length"), digest.alias("digest"), *more)
+
+
+def offset_in_file() -> Column:
+    before = W.partitionBy("file_no").orderBy("page_id", "digest").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+
+
 def archive(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
     """Record table of an archive: file_no, offset, length, page_id and digest (SHA-256 of the record's bytes).
 
-    A file holds an id range (null ids: file -1); its records stand in id order, then digest
-    order, end to end. Only digests and lengths are shuffled, never payloads.
+    A file holds an id range; records without an id are dealt by digest to files -1 to -4096. A file's records
+    stand in id order, then digest order, end to end. Only digests and lengths are shuffled, never
+    payloads. Pages may have columns of any other names; repeated pages are records of their own.
     """
-    rec = record_text(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long").alias("file_no"), F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"))
-    before = W.partitionBy("file_no").orderBy("page_id", "digest").rowsBetween(W.unboundedPreceding, -1)
-    return rows.select("file_no", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "page_id", "digest")
+    return records_of(pages, file_ids).select("file_no", offset_in_file(), "length", "page_id", "digest")
 
 
 def leaves(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -89,12 +107,13 @@ def _mismatched(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """Records on which two replicas' record tables differ: file_no, offset, status, ids, lengths and digests of either side.
+    """Records on which two replicas' record tables differ: file_no, offset, status, ids, lengths and digests of either side, and r_offset.
 
     Roots are compared first; on each level down only children of mismatching nodes are read and
-    compared, and records only of mismatching ranges. status: ``altered`` (other bytes at the
-    offset), ``missing`` (only left) or ``extra`` (only right). Equal or two empty replicas give
-    no row. Repeated records at one offset (repeated rows) are compared as a set of digests.
+    compared, and records only of mismatching ranges. status: ``altered`` (the record's other bytes),
+    ``missing`` (only left), ``extra`` (only right) or ``moved`` (the same bytes at another offset of the file, as
+    after a record lost before it). Records without an id are told altered by their offset. Equal or
+    two empty replicas give no row. Of repeated records the first of one side meets the first of the other.
     """
     levels = max(levels_for(left, range_bytes, fanout), levels_for(right, range_bytes, fanout))
     one, two = tree(left, levels, range_bytes, fanout), tree(right, levels, range_bytes, fanout)
@@ -105,11 +124,20 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES, fan
         bad = materialise(_mismatched(a.join(up, under, "left_semi"), b.join(up, under, "left_semi")), "merkle-bad")
     up = bad.select(F.col("file_no").alias("p_file"), F.col("idx").alias("p_idx"))
     under = (F.col("file_no") == F.col("p_file")) & (F.expr(f"offset div {range_bytes}L") == F.col("p_idx"))
-    a = left.join(up, under, "left_semi").select("file_no", "offset", "length", "page_id", "digest")
-    b = right.join(up, under, "left_semi").select(*[F.col(c).alias(f"r_{c}") for c in ("file_no", "offset", "length", "page_id", "digest")])
-    both = a.join(b, (F.col("file_no") == F.col("r_file_no")) & (F.col("offset") == F.col("r_offset")), "full_outer").filter(~F.col("digest").eqNullSafe(F.col("r_digest")) | ~F.col("length").eqNullSafe(F.col("r_length")))
-    status = F.when(F.col("r_file_no").isNull(), "missing").when(F.col("file_no").isNull(), "extra").otherwise("altered")
-    return both.select(F.coalesce("file_no", "r_file_no").alias("file_no"), F.coalesce("offset", "r_offset").alias("offset"), status.alias("status"), F.coalesce("page_id", "r_page_id").alias("page_id"), "length", F.col("r_length"), "digest", "r_digest").distinct()
+    columns = ["file_no", "offset", "length", "page_id", "digest"]
+    nth = F.row_number().over(W.partitionBy("file_no", "digest").orderBy("offset", "page_id"))
+    a = materialise(left.join(up, under, "left_semi").select(*columns, nth.alias("nth")), "merkle-left")
+    b = materialise(right.join(up, under, "left_semi").select(*[F.col(c).alias(f"r_{c}") for c in columns], F.row_number().over(W.partitionBy("file_no", "digest").orderBy("offset", "page_id")).alias("r_nth")), "merkle-right")
+    same = (F.col("file_no") == F.col("r_file_no")) & (F.col("digest") == F.col("r_digest")) & (F.col("nth") == F.col("r_nth"))
+    moved = a.join(b, same).filter("offset <> r_offset").withColumn("status", F.lit("moved"))
+    a, b = a.join(b, same, "left_anti"), b.join(a, same, "left_anti")
+    name = lambda p: F.coalesce(F.concat(F.lit("id "), F.col(f"{p}page_id").cast("string")), F.concat(F.lit("at "), F.col(f"{p}offset").cast("string")))
+    a = a.withColumn("name", name("")).withColumn("which", F.row_number().over(W.partitionBy("file_no", "name").orderBy("offset")))
+    b = b.withColumn("r_name", name("r_")).withColumn("r_which", F.row_number().over(W.partitionBy("r_file_no", "r_name").orderBy("r_offset")))
+    both = a.join(b, (F.col("file_no") == F.col("r_file_no")) & (F.col("name") == F.col("r_name")) & (F.col("which") == F.col("r_which")), "full_outer")
+    both = both.withColumn("status", F.when(F.col("r_file_no").isNull(), "missing").when(F.col("file_no").isNull(), "extra").otherwise("altered"))
+    out = [F.coalesce("file_no", "r_file_no").alias("file_no"), F.coalesce("offset", "r_offset").alias("offset"), "status", F.coalesce("page_id", "r_page_id").alias("page_id"), "length", "r_length", "digest", "r_digest", "r_offset"]
+    return both.select(*out).unionByName(moved.select(*out))
 
 
 #: The damage that the query's second replica suffers, as SQL that Spark and DuckDB both read.
@@ -119,6 +147,8 @@ LOST = "(page_id // 500) % 7 = 3 AND page_id % 500 >= 460"
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica with one byte of some payloads altered and the last records of some files lost."""
+    f = Frame(pages)
+    pages = f.df.select(*[f.col(c).alias(c) for c in ("page_id", "url", "html")])
     lost = LOST.replace("page_id // 500", "page_id div 500")
     html = F.when(F.expr(ALTERED), F.expr("concat(substring(html, 1, length(html) - 1), if(endswith(html, '!'), '?', '!'))")).otherwise(F.col("html"))
     return pages.filter(f"NOT coalesce({lost}, false)").withColumn("html", html)
@@ -127,7 +157,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op9_fixity(spark, sf_dir: str) -> DataFrame:
     """Pages as an archive against a replica damaged by a fixed rule: every altered or lost record, located by descent."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return audit(materialise(archive(pages), "warc-a"), materialise(archive(damaged(pages)), "warc-b"))
+    return audit(materialise(archive(pages), "warc-a"), materialise(archive(damaged(pages)), "warc-b")).drop("r_offset")
 
 
 def _archive_sql(src: str) -> str:
@@ -152,29 +182,57 @@ FROM a LEFT JOIN b ON a.file_no = b.file_no AND a."offset" = b."offset"
 WHERE b.digest IS DISTINCT FROM a.digest
 """
 
-_HEAD = re.compile(rb"Content-Length: (\d+)\r\n")
+_HEAD = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n")
+_MARK = b"WARC/1."
 
 
 def write_archive(pages: DataFrame, path: str, file_ids: int = FILE_IDS) -> None:
     """Write the archive's bytes as Parquet rows (file_no, offset, record binary), one folder a file."""
-    rec = record_text(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select("page_id", rec.cast("binary").alias("record"), F.sha2(rec, 256).alias("digest"), F.octet_length(rec).cast("long").alias("length"), F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long").alias("file_no"))
-    before = W.partitionBy("file_no").orderBy("page_id", "digest").rowsBetween(W.unboundedPreceding, -1)
-    rows.select("file_no", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "record").write.partitionBy("file_no").parquet(path)
+    rows = records_of(pages, file_ids, F.col("rec").cast("binary").alias("record"))
+    rows.select("file_no", offset_in_file(), "record").write.partitionBy("file_no").parquet(path)
+
+
+def split_records(raw: bytes) -> Iterator[tuple[int, int, str | None]]:
+    """(offset, end, problem) of every record of a WARC file's bytes; together they cover the whole file.
+
+    A record that cannot be read runs on to the next one that begins as a record does. problem: null,
+    ``no record`` (bytes that begin none), ``cut header``, ``no length``, ``cut payload`` or ``bad end``.
+    """
+    at = 0
+    while at < len(raw):
+        head = raw.find(b"\r\n\r\n", at)
+        found = _HEAD.search(raw, at, head + 2) if head >= 0 else None
+        end = head + 4 + int(found[1]) + 4 if found else 0
+        if not raw.startswith(_MARK, at):
+            problem = "no record"
+        elif head < 0:
+            problem = "cut header"
+        elif not found:
+            problem = "no length"
+        elif end > len(raw):
+            problem = "cut payload"
+        else:
+            problem = None if raw[end - 4 : end] == b"\r\n\r\n" else "bad end"
+        if problem:
+            later = raw.find(_MARK, at + 1)
+            end = later if later >= 0 else len(raw)
+        yield at, end, problem
+        at = end
 
 
 def read_warc(df: DataFrame) -> DataFrame:
-    """Records of whole WARC files (``path``, ``content`` as from the binaryFile source): path, offset, length, digest."""
+    """Records of whole WARC files (``path``, ``content`` as from the binaryFile source): path, offset, length, digest, problem.
+
+    Damaged files are read to their end: what cannot be read is a row with its ``problem``. A null content has no rows.
+    """
+    f = Frame(df)
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string()), ("problem", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                raw, at, rows = content.as_py() or b"", 0, []
-                while at < len(raw):
-                    head = raw.index(b"\r\n\r\n", at) + 4
-                    end = head + int(_HEAD.search(raw, at, head)[1]) + 4
-                    rows.append((path.as_py(), at, end - at, hashlib.sha256(raw[at:end]).hexdigest()))
-                    at = end
-                yield pa.RecordBatch.from_pylist([dict(zip(("path", "offset", "length", "digest"), r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())]))
-
-    return df.select("path", "content").mapInArrow(run, "path string, offset bigint, length bigint, digest string")
+                raw = content.as_py() or b""
+                rows = [(path.as_py(), a, b - a, hashlib.sha256(raw[a:b]).hexdigest(), problem) for a, b, problem in split_records(raw)]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return f.df.select(f.col("path"), f.col("content")).mapInArrow(run, "path string, offset bigint, length bigint, digest string, problem string")
