@@ -226,19 +226,25 @@ def held_out(key):
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """Fit on at most ``per_label`` documents of each label outside the held-out fold, by a hash of the key.
 
-    Labels are drawn evenly, so scores are for even odds. Null keys, labels and texts are not learnt
-    from; of repeated labels of a key the larger counts.
+    Labels are drawn evenly; the calibration weighs them by their shares among all rows that may be learnt from, so
+    scores are for the corpus's odds. Null keys, labels and texts are not learnt from; of repeated
+    labels of a key the larger counts.
     """
     f, g = Frame(docs), Frame(labels)
     ids = g.df.select(F.col(g.at(key)).alias("id"), F.col(g.at(label)).alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    ids = first_by_hash(ids.filter(~held_out(F.col("id"))), "y", "id", per_label)
+    ids = ids.filter(~held_out(F.col("id")))
+    share = ids.agg(F.avg(F.col("y").cast("double")).alias("s")).head()["s"]
+    ids = first_by_hash(ids, "y", "id", per_label)
     chosen = f.df.select(F.col(f.at(key)).alias("id"), F.col(f.at(text)).cast("string").alias("text")).filter("text is not null").join(F.broadcast(ids), "id")
     got = chosen.select(F.md5(F.col("id").cast("string")).alias("o"), "text", "y").toArrow().sort_by([("o", "ascending"), ("text", "ascending")])
-    return fit(got["text"].to_pylist(), np.array(got["y"].to_pylist(), float))
+    return fit(got["text"].to_pylist(), np.array(got["y"].to_pylist(), float), share=share)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, predicted) for every document, scored whole; a null text scores as an empty one. Repeated rows stay."""
+    """(key, score, predicted) for every document, scored whole; a null text scores as an empty one.
+
+    Repeated rows and null keys stay; other columns, whatever their names, are left out.
+    """
     f = Frame(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = f.df.select(F.col(f.at(key)).alias(key), F.col(f.at(text)).cast("string").alias("text"))

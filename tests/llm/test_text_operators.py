@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,96 @@ def test_boosting_and_calibration():
     assert isotonic(np.zeros(0), np.zeros(0))(np.array([3.0])) == 0.5
 
 
+def plain_tree(x, grad, hess, edges, depth, rate, least, ridge):
+    """Every feature and edge tried by looping over rows; a function from a row to its leaf's value."""
+    value = -rate * sum(grad) / (sum(hess) + ridge)
+    best = (1e-6, None)
+    if depth and len(grad) >= 2 * least:
+        score = lambda rows: sum(grad[i] for i in rows) ** 2 / (sum(hess[i] for i in rows) + ridge)
+        for k in range(x.shape[1]):
+            for e in edges[k]:
+                left = [i for i in range(len(x)) if x[i, k] <= e]
+                right = [i for i in range(len(x)) if x[i, k] > e]
+                if min(len(left), len(right)) >= least and (gain := score(left) + score(right) - score(range(len(x)))) > best[0] + 1e-9:
+                    best = (gain, (k, e, left, right))
+    if best[1] is None:
+        return lambda row: value
+    k, e, left, right = best[1]
+    a, b = (plain_tree(x[part], grad[part], hess[part], edges, depth - 1, rate, least, ridge) for part in (left, right))
+    return lambda row: a(row) if row[k] <= e else b(row)
+
+
+def test_boosting_against_plain_loops():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 3)).round(1)
+    y = ((x[:, 0] + 0.3 * rng.normal(size=150) > 0.2) ^ (x[:, 2] > 1)).astype(float)
+    model = boost(x, y, trees=3, depth=2, bins=8, least=5)
+    margin = np.full(150, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(3):
+        q = 1 / (1 + np.exp(-margin))
+        tree = plain_tree(x, q - y, q * (1 - q), model.edges, 2, 0.15, 5, 1.0)
+        margin = margin + np.array([tree(row) for row in x])
+    assert model.margins(x) == pytest.approx(margin, abs=1e-9)
+
+
+def test_isotonic_against_the_max_min_formula():
+    rng = np.random.default_rng(7)
+    m = np.sort(rng.normal(size=40))
+    y = (rng.random(40) < 1 / (1 + np.exp(-2 * m))).astype(float)
+    w = rng.integers(1, 5, 40).astype(float)
+    mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+    want = np.array([max(min(mean(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)])
+    scale = isotonic(m, y, w)
+    # Blocks of equal fit, in order: inner ones have exactly their mean, the ends are smoothed by one row.
+    blocks = [np.flatnonzero(want == v) for v in np.unique(want)]
+    assert len(scale.at) == len(blocks)
+    for i, rows in enumerate(blocks):
+        assert scale.at[i] == pytest.approx((m[rows] * w[rows]).sum() / w[rows].sum())
+        if 0 < i < len(blocks) - 1:
+            assert scale.to[i] == pytest.approx(want[rows[0]])
+
+
+def test_shares_of_labels_move_the_scores():
+    texts, y = ["you idiot", "a fine day", "idiot proof"] * 40, np.array([1, 0, 0] * 40)
+    even, rare = (toxicity.fit(texts, y, share=s).score(*buffer(["you idiot", "idiot proof"])) for s in (None, 0.01))
+    assert (rare <= even + 1e-9).all()
+
+
+def plain_features(text, lex):
+    """FEATURES one character at a time."""
+    weight = {int(k): v for k, v in zip(lex.keys, lex.weights, strict=True)}
+    pronouns = {int(p) for p in lex.pronouns}
+    lower = lambda t: "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in t)
+
+    weigh = lambda word: weight.get(int(word_hashes(word)[0]), 0.0)  # the seed lexicon holds whole words only
+    words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", text)
+    w = [weigh(x) for x in words]
+    you = [int(word_hashes(x)[0]) in pronouns for x in words]
+    hit = [x > 0 for x in w]
+    n, raw = max(1, len(words)), text.encode()
+    chars, low = max(1, len(raw)), lower(text).encode()
+    near = sum(any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i in range(len(words)) if hit[i])
+    dense = max([0, *[sum(hit[max(0, i + 1 - 50) : i + 1]) for i in range(len(words)) if hit[i]]])
+    letter = lambda c: c >= 128 or chr(c).isalpha()
+    same = sum(low[i] == low[i - 1] == low[i - 2] and letter(low[i]) for i in range(2, len(low)))
+    other = sum(33 <= c <= 126 and not chr(c).isalnum() and chr(c) not in "!?,." for c in raw)
+    return {
+        "listed": sum(hit) / n, "log listed": np.log1p(sum(hit)), "any listed": float(any(hit)), "densest": dense, "weight": sum(w) / n, "near": near / n, "you": sum(you) / n,
+        "capitals": sum(65 <= c <= 90 for c in raw) / chars, "exclamation": raw.count(b"!") / chars, "question": raw.count(b"?") / chars, "other": other / chars, "same": same / chars,
+        "log words": np.log1p(len(words)), "word bytes": sum(len(x.encode()) for x in words) / n,
+    }
+
+
+def test_features_against_plain_loops():
+    lex = toxicity.seed_lexicon()
+    rows = ["You are an IDIOT, idiots!!", "", "no... calm; words: here (really) [yes] #1", "Tú eres ESTÚPIDO? aaa bbbb cccc", "idiot " * 70 + "you", "x " * 60 + "loser you"]
+    columns = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 14, 15]
+    got = toxicity.features(*buffer(rows), lex)
+    for text, row in zip(rows, got, strict=True):
+        for (name, want), k in zip(plain_features(text, lex).items(), columns, strict=True):
+            assert row[k] == pytest.approx(want), (text[:30], name)
+
+
 def test_toxicity_features_see_disguise_pronouns_and_caps():
     lex = toxicity.seed_lexicon()
     rows = ["You are an idiot", "IDIOT!!! LOSER", "an 1d1ot and an id!ot here", "calm words here", "", "you " * 30]
@@ -315,7 +406,6 @@ def test_nothing_to_search_or_to_find(spark):
 def test_decontamination_query_against_word_runs(spark):
     """Brute force: a document leaks an item if over 40 % of the item's runs of five words stand in it."""
     sf = "/root/testdata/sf0.01"
-    import re
 
     words = lambda t: re.findall(r"\w+", (t or "").lower())
     runs = defaultdict(set)
