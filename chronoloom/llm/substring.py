@@ -97,7 +97,8 @@ def repeated_units(docs: DataFrame, *, kinds: tuple[str, ...] = KINDS, least: in
     found = materialise(units(docs, kinds, least, key, text), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_id", "start", "stop")
     groups = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("keep")).filter("n > 1")
-    groups = groups.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "keep", F.col("n").alias("occurrences"))
+    # A table of its own, so that the join on a very frequent unit can be split.
+    groups = materialise(groups.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "keep", F.col("n").alias("occurrences")), "groups")
     out = found.join(groups, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
     here = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_id") == F.col("keep.text_id"))
     out = out.filter(~(here & (F.col("start") < F.col("keep.stop"))))
