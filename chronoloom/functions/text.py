@@ -179,3 +179,23 @@ def chunk_text(c: Column, most: int = 2048) -> Column:
         return s.map(lambda t: chunk(t, most))
 
     return run(c)
+
+
+def distinct_in_order(items: Column) -> Column:
+    """A list's distinct values in order of their first place."""
+    return F.array_distinct(items)
+
+
+def is_present(c: Column) -> Column:
+    """A text that is there and not blank."""
+    return F.coalesce(F.trim(c), F.lit("")) != ""
+
+
+def is_between(c: Column, low, high) -> Column:
+    """A number that is there and lies within closed bounds."""
+    return F.coalesce((c >= low) & (c <= high), F.lit(False))
+
+
+def is_of_length(c: Column, low: int, high: int) -> Column:
+    """A list that is there and has from ``low`` to ``high`` items."""
+    return F.coalesce(F.size(c).between(low, high) & c.isNotNull(), F.lit(False))

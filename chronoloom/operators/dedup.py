@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,13 +68,16 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     """(uuid, match, how): exact when one existing node has the normalised name, ``ambiguous`` when several do, else the best fuzzy match.
 
     Fuzzy matches need a name of high entropy, shingle similarity of 0.9 and a common min-hash band; ties go to the smaller id.
+    Where both sides have a ``group_id``, matches stay within it.
     """
-    e = extracted.select("uuid", tx.normalise_exact(F.col("name")).alias("exact"), tx.normalise_fuzzy(F.col("name")).alias("fuzzy"))
-    x = existing.select(F.col("uuid").alias("m"), tx.normalise_exact(F.col("name")).alias("x_exact"), tx.normalise_fuzzy(F.col("name")).alias("x_fuzzy"))
-    names = x.groupBy("x_exact").agg(F.count("*").alias("n"), F.min("m").alias("one"))
-    hit = e.join(names, F.col("exact") == F.col("x_exact"), "left")
+    grouped = "group_id" in extracted.columns and "group_id" in existing.columns
+    group = lambda name: (F.coalesce("group_id", F.lit("")) if grouped else F.lit("")).alias(name)
+    e = extracted.select("uuid", group("g"), tx.normalise_exact(F.col("name")).alias("exact"), tx.normalise_fuzzy(F.col("name")).alias("fuzzy"))
+    x = existing.select(F.col("uuid").alias("m"), group("xg"), tx.normalise_exact(F.col("name")).alias("x_exact"), tx.normalise_fuzzy(F.col("name")).alias("x_fuzzy"))
+    names = x.groupBy("x_exact", "xg").agg(F.count("*").alias("n"), F.min("m").alias("one"))
+    hit = e.join(names, (F.col("exact") == F.col("x_exact")) & (F.col("g") == F.col("xg")), "left")
     done = hit.filter(F.col("n").isNotNull()).select("uuid", F.when(F.col("n") == 1, F.col("one")).alias("match"), F.when(F.col("n") == 1, "exact").otherwise("ambiguous").alias("how"))
-    rest = hit.filter("n is null").select("uuid", "fuzzy").filter(tx.high_entropy(F.col("fuzzy")))
+    rest = hit.filter("n is null").select("uuid", "g", "fuzzy").filter(tx.high_entropy(F.col("fuzzy")))
     ensure_checkpoint_dir(extracted.sparkSession)
     # Used three times below: written once to the shared folder.
     pairs = similar_names(rest.select(F.col("fuzzy").alias("n")), x.select(F.col("x_fuzzy").alias("n"))).checkpoint()
@@ -80,9 +85,9 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     keys = bands(minhash(involved)).groupBy("uuid").agg(F.collect_set(F.concat_ws(":", "band", "value")).alias("keys"))
     ka, kb = keys.select(F.col("uuid").alias("ua"), F.col("keys").alias("ka")), keys.select(F.col("uuid").alias("ub"), F.col("keys").alias("kb"))
     pairs = pairs.join(ka, F.col("a") == F.col("ua")).join(kb, F.col("b") == F.col("ub")).filter(F.arrays_overlap("ka", "kb")).select("a", "b", "j")
-    least = x.groupBy("x_fuzzy").agg(F.min("m").alias("m"))
-    best = pairs.join(least, F.col("b") == F.col("x_fuzzy")).groupBy("a").agg(F.min_by("m", F.struct(-F.col("j"), "m")).alias("m"))
-    fuzzy = rest.join(best, F.col("fuzzy") == F.col("a")).select("uuid", F.col("m").alias("match"), F.lit("fuzzy").alias("how"))
+    least = x.groupBy("x_fuzzy", "xg").agg(F.min("m").alias("m"))
+    best = pairs.join(least, F.col("b") == F.col("x_fuzzy")).groupBy("a", F.col("xg").alias("bg")).agg(F.min_by("m", F.struct(-F.col("j"), "m")).alias("m"))
+    fuzzy = rest.join(best, (F.col("fuzzy") == F.col("a")) & (F.col("g") == F.col("bg"))).select("uuid", F.col("m").alias("match"), F.lit("fuzzy").alias("how"))
     return done.unionByName(fuzzy)
 
 
@@ -101,55 +106,72 @@ def similar_edges(edges: DataFrame, least: float = 0.6) -> DataFrame:
     return both.filter(F.coalesce(near, F.lit(False))).select("a", "b")
 
 
-def undirected_map(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def similar_edge_links(edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """Links (a, b), a < b, that connect what ``similar_edges`` pairs: a star through each word that facts of the same ends share.
+
+    A pair of ends with many facts costs a row for each word of a fact, never all pairs; only facts with
+    embeddings are compared two by two.
+    """
+    held = edges.select("uuid", "src", "dst", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("w"))
+    first = held.groupBy(F.col("src").alias("s2"), F.col("dst").alias("d2"), F.col("w").alias("w2")).agg(F.min("uuid").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    stars = held.join(first, (F.col("src") == F.col("s2")) & (F.col("dst") == F.col("d2")) & (F.col("w") == F.col("w2"))).filter("uuid <> a").select("a", F.col("uuid").alias("b"))
+    near = similar_edges(edges.filter(F.size("embedding") > 0), least)
+    return stars.unionByName(near).distinct()
+
+
+def undirected_map(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """(alias, canonical): the least id of each connected component of the pairs (a, b).
 
-    Hooks every node to the least label among its neighbours and then follows labels of labels; a round is
-    checkpointed to the session's shared folder.
+    Large-star and small-star steps in turn: every node hangs its larger neighbours, then its smaller ones, on the
+    least of its neighbourhood, which settles in a number of rounds that grows with the logarithm of the longest
+    chain. A round is checkpointed to the session's shared folder; one that does not settle is an error.
     """
     spark = pairs.sparkSession
     ensure_checkpoint_dir(spark)
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    nodes = pairs.select(F.col("a").alias("alias")).union(pairs.select("b")).distinct().checkpoint()
+    links = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     total = None
     for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        hooked = label.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("label"))
-        jump = hooked.select(F.col("node").alias("j"), F.col("label").alias("jl"))
-        label = hooked.join(jump, F.col("label") == F.col("j"), "left").select("node", F.least("label", F.coalesce("jl", "label")).alias("label")).checkpoint()
-        now = label.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).head()[0]
-        if now == total:
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+        if now == total or now[0] == 0:
             break
         total = now
-    return label.select(F.col("node").alias("alias"), F.col("label").alias("canonical"))
-
-
-def directed_map(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(alias, canonical) where each alias points to one parent (the last given, by ``pos``): chains are followed to their root by pointer doubling. A pointer into a cycle ends at the cycle's least id."""
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
+        both = links.union(links.select("b", "a"))
+        low = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("a"), F.min("b")).alias("m"))
+        large = both.join(low, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        small = large.join(low, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        links = small.select("x.a", "x.b").filter("a <> b").distinct().checkpoint()
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return nodes.join(links, F.col("alias") == F.col("a"), "left").select("alias", F.coalesce("b", "alias").alias("canonical"))
+
+
+def directed_map(pairs: DataFrame) -> DataFrame:
+    """(alias, canonical) where each alias points to one parent (the last given, by ``pos``): chains are followed to their root by pointer doubling.
+
+    A pointer into a cycle ends at the cycle's least id. As many rounds as the logarithm of the number of aliases
+    follow any chain to its end; what still moves then stands on a cycle.
+    """
+    ensure_checkpoint_dir(pairs.sparkSession)
     p = pairs.groupBy("alias").agg(F.max_by("parent", "pos").alias("to"), F.least(F.min("alias"), F.max_by("parent", "pos")).alias("low")).checkpoint()
-    for _ in range(rounds):
-        n = p.select(F.col("alias").alias("n_alias"), F.col("to").alias("n_to"), F.col("low").alias("n_low"))
-        step = p.join(n, F.col("to") == F.col("n_alias"), "left")
-        step = step.select("alias", F.coalesce("n_to", "to").alias("nt"), F.least("low", F.coalesce("n_low", "low")).alias("low"), (F.col("n_to").isNotNull()).alias("moved"), "to")
-        moved = step.filter("moved").limit(1).count()
-        p = step.select("alias", F.col("nt").alias("to"), "low", "moved").checkpoint()
-        if not moved:
+    ahead = lambda: p.select(F.col("alias").alias("n_alias"), F.col("to").alias("n_to"), F.col("low").alias("n_low"))
+    for _ in range(p.count().bit_length() + 1):
+        step = p.join(ahead(), F.col("to") == F.col("n_alias"), "left")
+        step = step.select("alias", F.coalesce("n_to", "to").alias("to"), F.least("low", F.coalesce("n_low", "low")).alias("low"), F.col("n_to").isNotNull().alias("moved")).checkpoint()
+        p = step.drop("moved")
+        if step.filter("moved").isEmpty():
             break
-        p = p.drop("moved")
-    if "moved" in p.columns:
-        return p.select("alias", F.col("to").alias("canonical"))
-    return p.select("alias", F.col("low").alias("canonical"))
+    return p.join(ahead(), F.col("to") == F.col("n_alias"), "left").select("alias", F.coalesce("n_low", "to").alias("canonical"))
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only a session without one gets a local folder (single machine)."""
+    """Use the session's ``spark.checkpoint.dir``; only a session on one machine without one gets a local folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
-            import tempfile
-
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(path)
 

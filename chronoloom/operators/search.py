@@ -260,6 +260,18 @@ def _recipes() -> dict[str, Recipe]:
 RECIPES = _recipes()
 
 
+def needs_embedding(recipe: str | Recipe) -> bool:
+    """Whether a recipe asks for the query's embedding: by a cosine search or by reranking for diversity."""
+    r = RECIPES[recipe] if isinstance(recipe, str) else recipe
+    parts = [p for p in (r.edge, r.node, r.episode, r.community) if p is not None]
+    return any("cosine" in p.methods or p.reranker == "mmr" for p in parts)
+
+
+def default_rerank(items: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(uuid, score): distinct items, the first ``limit`` by id, all of score 1."""
+    return items.select("uuid").distinct().orderBy("uuid").limit(limit_of(limit)).select("uuid", F.lit(1.0).alias("score"))
+
+
 @dataclass
 class Corpus:
     """What one kind of item offers to a search: (uuid, text, embedding), and for graph methods edges and mention counts."""

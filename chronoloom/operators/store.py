@@ -67,33 +67,74 @@ def _kept(new: str, old: str) -> Column:
     return F.coalesce(F.when(F.col(new) != "", F.col(new)), F.col(old))
 
 
+def last_of(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """The last row of each key, by those of the ``order`` columns that are there."""
+    by = [F.col(c).desc_nulls_last() for c in order if c in rows.columns]
+    return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).filter("rn = 1").drop("rn")
+
+
 def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Merge by (uuid, group_id): an empty new name or summary keeps the old one, labels are replaced, ``created_at`` stays.
 
-    Several new rows of a key: the last by ``updated_at`` (then name) counts. One full outer join on the key.
+    All columns of either side stay: one that the new rows lack, or that is null in them, keeps its old value, and rows that are
+    not touched stay as they are. Several new rows of a key: the last by ``updated_at`` (then name)
+    counts. One full outer join on the key.
     """
-    last = new.withColumn("rn", F.row_number().over(W.partitionBy("uuid", "group_id").orderBy(F.col("updated_at").desc(), F.col("name").desc()))).filter("rn = 1").drop("rn")
-    n = last.select(*[F.col(c).alias(f"n_{c}") for c in ("uuid", "group_id", "name", "labels", "summary", "updated_at")])
+    last = last_of(new, ("uuid", "group_id"), "updated_at", "name")
+    n = last.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
     both = old.join(n, (F.col("uuid") == F.col("n_uuid")) & (F.col("group_id") == F.col("n_group_id")), "full_outer")
-    return both.select(
-        F.coalesce("uuid", "n_uuid").alias("uuid"),
-        F.coalesce("group_id", "n_group_id").alias("group_id"),
-        _kept("n_name", "name").alias("name"),
-        F.when(F.col("n_uuid").isNull(), F.col("labels")).otherwise(F.col("n_labels")).alias("labels"),
-        _kept("n_summary", "summary").alias("summary"),
-        F.coalesce("created_at", "n_updated_at").alias("created_at"),
-        F.col("n_updated_at").alias("updated_at"),
-    )
+    columns = [*old.columns, *[c for c in new.columns if c not in old.columns]]
+
+    def merged(c: str) -> Column:
+        if c in ("name", "summary") and c in old.columns and c in new.columns:
+            return _kept(f"n_{c}", c).alias(c)
+        if c == "created_at" and c in old.columns:
+            given = [F.col(x) for x in ("n_created_at", "n_updated_at") if x in n.columns]
+            return F.coalesce("created_at", *given).alias(c)
+        parts = ([F.col(f"n_{c}")] if c in new.columns else []) + ([F.col(c)] if c in old.columns else [])
+        return F.coalesce(*parts).alias(c)
+
+    return both.select(*[merged(c) for c in columns])
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, entity: DataFrame) -> DataFrame:
-    """Merge edges by (uuid, group_id); a new edge without both ends is dropped. The end of validity closes both time axes."""
+    """Merge edges by (uuid, group_id); a new edge without both ends is dropped. The end of validity closes both time axes.
+
+    All columns of either side stay; what a new row lacks keeps its old value (times that a new row has
+    are its own, null or not). Several new rows of a key: the last by ``valid_at`` (then fact) counts.
+    """
     have = entity.select(F.col("uuid").alias("have"))
-    ok = new.join(have, F.col("src") == F.col("have"), "left_semi").join(have, F.col("dst") == F.col("have"), "left_semi")
+    ok = last_of(new, ("uuid", "group_id"), "valid_at", "fact")
+    ok = ok.join(have, F.col("src") == F.col("have"), "left_semi").join(have, F.col("dst") == F.col("have"), "left_semi")
     ok = ok.withColumn("expired_at", F.col("invalid_at"))
-    cols = ["uuid", "src", "dst", "group_id", "name", "fact", "valid_at", "invalid_at", "expired_at"]
-    keep = old.join(ok.select("uuid", "group_id"), ["uuid", "group_id"], "left_anti").select(*cols)
-    return keep.unionByName(ok.select(*cols))
+    n = ok.select(*[F.col(c).alias(f"n_{c}") for c in ok.columns], F.lit(True).alias("is_new"))
+    both = old.join(n, (F.col("uuid") == F.col("n_uuid")) & (F.col("group_id") == F.col("n_group_id")), "full_outer")
+    columns = [*old.columns, *[c for c in ok.columns if c not in old.columns]]
+
+    def merged(c: str) -> Column:
+        if c not in ok.columns:
+            return F.col(c)
+        if c not in old.columns:
+            return F.col(f"n_{c}").alias(c)
+        if c in ("created_at", "episodes"):
+            return F.coalesce(f"n_{c}", c).alias(c)
+        return F.when(F.col("is_new"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+
+    return both.select(*[merged(c) for c in columns])
+
+
+def upsert_community_edges(old: DataFrame, new: DataFrame, entity: DataFrame, community: DataFrame) -> DataFrame:
+    """Add HAS_MEMBER links (src, dst, group_id) from communities to entities or, where there is none of that id, to communities.
+
+    Both ends must be in the link's group. A link that is there already stays as it is; the id is ``src-dst``.
+    """
+    nodes = lambda t, label: t.select(F.col("uuid").alias("k"), F.col("group_id").alias("g"), F.lit(label).alias("dst_label")).distinct()
+    ends = nodes(entity, "entity").unionByName(nodes(community, "community")).groupBy("k", "g").agg(F.max("dst_label").alias("dst_label"))
+    heads = community.select(F.col("uuid").alias("c"), F.col("group_id").alias("cg")).distinct()
+    ok = new.select("src", "dst", "group_id").distinct().join(heads, (F.col("src") == F.col("c")) & (F.col("group_id") == F.col("cg")), "left_semi")
+    ok = ok.join(ends, (F.col("dst") == F.col("k")) & (F.col("group_id") == F.col("g"))).select("src", "dst", "group_id", "dst_label")
+    fresh = ok.join(old.select("src", "dst", "group_id"), ["src", "dst", "group_id"], "left_anti")
+    return old.unionByName(fresh.withColumn("uuid", F.concat_ws("-", "src", "dst")), allowMissingColumns=True)
 
 
 def upsert_mentions(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -93,3 +93,25 @@ def save_checkpoints(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.unionByName(new)
     cols = [c for c in both.columns if c != "episode_id"]
     return both.groupBy("episode_id").agg(F.max_by(F.struct(*cols), F.struct("last_updated_at", "attempt_count")).alias("x")).select("episode_id", *[f"x.{c}" for c in cols])
+
+
+#: Severity of log levels (fixed).
+LEVELS = {"DEBUG": -4, "INFO": 0, "WARN": 4, "ERROR": 8}
+
+
+def error_log(records: DataFrame, least: str = "ERROR") -> DataFrame:
+    """Log records (timestamp, level, message, context map, attributes map, ...) of a level or above as rows of the error table.
+
+    ``ERROR+2`` and the like count by their offset. User, session and request source come from the
+    context, blank where it has none; attributes become JSON. Works on streams as on tables.
+    """
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.regexp_extract("level", "^[A-Z]+", 0))
+    offset = F.coalesce(F.regexp_extract("level", "([+-][0-9]+)$", 1).try_cast("int"), F.lit(0))
+    of = lambda k: F.coalesce(F.element_at("context", F.lit(k)), F.lit("")).alias(k)
+    kept = records.filter(F.coalesce(base + offset >= LEVELS[least], F.lit(False)))
+    return kept.select("id", "timestamp", "level", "message", of("user_id"), of("session_id"), of("request_source"), "source_file", "line_number", F.to_json("attributes").alias("attributes"))
+
+
+def write_errors(records: DataFrame, path: str) -> None:
+    """Append errors to the error table, by day."""
+    error_log(records).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)

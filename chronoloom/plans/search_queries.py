@@ -227,6 +227,7 @@ def _round_sql(k: int) -> str:
       (SELECT node, max({{'w': w, 'label': label}}) AS top FROM (SELECT a.node, x.label, sum(edge_count) AS w FROM adj a JOIN l{k} x ON a.neighbor = x.node GROUP BY ALL) GROUP BY node) t ON l.node = t.node)"""
 
 
+#: The SQL twin spells out its rounds, so both stop after three; the community queries below go on until nothing changes.
 @query("label_propagation", f"WITH {_ADJ}, l0 AS (SELECT DISTINCT node, node AS label FROM adj), {', '.join(_round_sql(k) for k in range(3))} SELECT node, label FROM l3")
 def label_propagation(g, spark, d):
     return cm.label_propagation(_adjacency(spark, d), 3)
@@ -234,7 +235,7 @@ def label_propagation(g, spark, d):
 
 @query("community_clusters")
 def community_clusters(g, spark, d):
-    return cm.clusters(cm.label_propagation(_adjacency(spark, d), 20))
+    return cm.clusters(cm.label_propagation(_adjacency(spark, d)))
 
 
 @query("modal_community", "WITH und AS (SELECT src AS node, dst AS other FROM deal UNION ALL SELECT dst, src FROM deal), v AS (SELECT node, m.src AS community, count(*) AS weight FROM und JOIN has_member m ON other = m.dst GROUP BY ALL) SELECT node, community, weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, community) AS k FROM v) WHERE k = 1".replace("FROM deal", "FROM (SELECT 'S' || l_suppkey AS src, 'C' || o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"))
@@ -251,13 +252,13 @@ def determine_community(g, spark, d):
 
 @query("build_communities")
 def build_communities(g, spark, d):
-    made, _ = cm.build_communities(cm.label_propagation(_adjacency(spark, d), 3), g.entity)
+    made, _ = cm.build_communities(cm.label_propagation(_adjacency(spark, d)), g.entity)
     return made
 
 
 @query("community_edges")
 def community_edges(g, spark, d):
-    _, members = cm.build_communities(cm.label_propagation(_adjacency(spark, d), 3), g.entity)
+    _, members = cm.build_communities(cm.label_propagation(_adjacency(spark, d)), g.entity)
     return members
 
 

@@ -100,7 +100,7 @@ def similar_edges(g, spark, d):
 @query("uuid_map", f"""WITH RECURSIVE {_EDGE}, pair AS (SELECT a.uuid AS a, b.uuid AS b FROM edge a JOIN edge b ON a.src = b.src AND a.dst = b.dst AND a.uuid <> b.uuid WHERE list_has_any(string_split(a.text, ' '), string_split(b.text, ' '))),
 reach AS (SELECT DISTINCT a AS alias, a AS other FROM pair UNION SELECT r.alias, p.b FROM reach r JOIN pair p ON r.other = p.a) SELECT alias, min(other) AS canonical FROM reach GROUP BY alias""")
 def uuid_map(g, spark, d):
-    return dd.undirected_map(dd.similar_edges(_texts(g)))
+    return dd.undirected_map(dd.similar_edge_links(_texts(g)))
 
 
 @query("dedupe_edges", f"""WITH RECURSIVE {_EDGE}, pair AS (SELECT a.uuid AS a, b.uuid AS b FROM edge a JOIN edge b ON a.src = b.src AND a.dst = b.dst AND a.uuid <> b.uuid WHERE list_has_any(string_split(a.text, ' '), string_split(b.text, ' '))),
@@ -108,7 +108,7 @@ reach AS (SELECT DISTINCT a AS alias, a AS other FROM pair UNION SELECT r.alias,
 SELECT coalesce(canonical, uuid) AS uuid, min(src) AS src, min(dst) AS dst, count(*) AS members FROM edge LEFT JOIN m ON uuid = alias GROUP BY 1""")
 def dedupe_edges(g, spark, d):
     e = _texts(g)
-    return dd.merge_edges(e, dd.undirected_map(dd.similar_edges(e))).select("uuid", "src", "dst", "members")
+    return dd.merge_edges(e, dd.undirected_map(dd.similar_edge_links(e))).select("uuid", "src", "dst", "members")
 
 
 def _chain(g):

@@ -33,3 +33,14 @@ def to_prompt_rows(df: DataFrame, columns: list[str], sep: str = ",") -> DataFra
     kinds = dict(df.dtypes)
     shown = [(F.element_at(F.col(c), -1) if kinds[c].startswith("array") else F.col(c)).cast("string").alias(c) for c in columns]
     return df.select(F.to_csv(F.struct(*shown), {"sep": sep}).alias("line"))
+
+
+def to_json_rows(df: DataFrame, columns: list[str], pretty: bool = False) -> DataFrame:
+    """One JSON text a row (``line``), null fields left out; ``pretty`` puts fields on lines of their own."""
+    options = {"pretty": "true"} if pretty else {}
+    return df.select(F.to_json(F.struct(*columns), options).alias("line"))
+
+
+def stamped_json(df: DataFrame, columns: list[str], pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> DataFrame:
+    """Rows as JSON (``line``) in which every timestamp, however deep in structs, lists and maps, is text."""
+    return df.select(F.to_json(F.struct(*columns), {"timestampFormat": pattern, "ignoreNullFields": "false"}).alias("line"))
