@@ -128,7 +128,8 @@ def undirected_map(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """
     spark = pairs.sparkSession
     ensure_checkpoint_dir(spark)
-    nodes = pairs.select(F.col("a").alias("alias")).union(pairs.select("b")).distinct().checkpoint()
+    pairs = pairs.select("a", "b").distinct().checkpoint()
+    nodes = pairs.select(F.col("a").alias("alias")).union(pairs.select("b")).distinct()
     links = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     for _ in range(rounds):
         # Settled once every node hangs on one other, and none that something hangs on hangs itself.
