@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import ensure_checkpoint_dir
+
+#: Rounds of a traversal that one plan holds.
+LAZY_ROUNDS = 3
+
 
 def undirected(edges: DataFrame, *extra: str) -> DataFrame:
     """Both orientations as (a, b)."""
@@ -33,15 +38,23 @@ def neighbors(edges: DataFrame, node: str, direction: str = "both") -> DataFrame
 def reach(steps: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
     """(uuid, depth): least number of steps from any origin (column uuid), origins at 0.
 
-    The loop only builds a plan: each round joins the frontier with the steps and keeps what is
-    new. The depth is small and given, so the plan is too; seen nodes are removed by an anti join.
+    Each round joins the frontier with the steps and keeps what is new; seen nodes are removed by an anti join. Up to
+    LAZY_ROUNDS rounds only build a plan. A plan holds the former rounds twice, so a deeper traversal is checkpointed
+    to the session's shared folder after each so many, and ends early where nothing new was reached.
     """
+    if depth > LAZY_ROUNDS:
+        ensure_checkpoint_dir(steps.sparkSession)
     seen = origins.select("uuid").distinct().withColumn("depth", F.lit(0))
     frontier = seen.select("uuid")
     for d in range(1, depth + 1):
         nxt = steps.join(frontier, steps["a"] == frontier["uuid"], "left_semi").select(F.col("b").alias("uuid")).distinct()
         frontier = nxt.join(seen.select(F.col("uuid").alias("s")), F.col("uuid") == F.col("s"), "left_anti")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+        if d % LAZY_ROUNDS == 0 and d < depth:
+            seen = seen.checkpoint()
+            frontier = seen.filter(F.col("depth") == d).select("uuid")
+            if frontier.isEmpty():
+                break
     return seen
 
 
@@ -89,7 +102,9 @@ def edges_of(edges: DataFrame, node: str) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, origin: str, depth: int) -> DataFrame:
-    """(uuid, depth, path): for every node within reach one shortest directed path, the least in node order."""
+    """(uuid, depth, path): for every node within reach one shortest directed path, the least in node order; deep searches are cut as in ``reach``."""
+    if depth > LAZY_ROUNDS:
+        ensure_checkpoint_dir(edges.sparkSession)
     steps = directed(edges, "out").distinct()
     seen = one(edges.sparkSession, origin).select("uuid", F.lit(0).alias("depth"), F.array("uuid").alias("path"))
     frontier = seen
@@ -98,6 +113,11 @@ def shortest_paths(edges: DataFrame, origin: str, depth: int) -> DataFrame:
         nxt = nxt.select(F.col("b").alias("uuid"), F.lit(d).alias("depth"), F.concat("before", F.array("b")).alias("path"))
         frontier = nxt.join(seen.select(F.col("uuid").alias("s")), F.col("uuid") == F.col("s"), "left_anti")
         seen = seen.unionByName(frontier)
+        if d % LAZY_ROUNDS == 0 and d < depth:
+            seen = seen.checkpoint()
+            frontier = seen.filter(F.col("depth") == d)
+            if frontier.isEmpty():
+                break
     return seen
 
 

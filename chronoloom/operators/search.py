@@ -326,11 +326,31 @@ def search(corpora: dict[str, Corpus], recipe: str | Recipe, text: str, query: l
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Rows of a group that meet in one task at a time, on each side.
+BLOCK = 20_000
+
+
 def relevant_pairs(queries: DataFrame, items: DataFrame, limit: int = DEFAULT_LIMIT, least: float = MIN_SCORE) -> DataFrame:
-    """(query, uuid, score): for every query row (query, embedding) its best items of the same group by cosine; equal keys (group_id) meet, not all rows."""
-    q = queries.select("query", F.col("group_id").alias("qg"), F.col("embedding").alias("qe"))
-    pairs = q.join(items, F.col("qg") == F.col("group_id")).select("query", "uuid", vx.cosine(F.col("qe"), F.col("embedding")).alias("score")).filter((F.col("score") >= least) & (F.col("query") != F.col("uuid")))
-    return pairs.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uuid"))).filter(F.col("rn") <= limit_of(limit)).drop("rn")
+    """(query, uuid, score): for every query row (query, group_id, embedding) its best items of the same group by cosine.
+
+    Queries and items of a group meet in blocks of about BLOCK rows of each, so a group that holds most rows is dealt
+    over many tasks; a task keeps only the best of each query before they are shuffled. Rows without a group have no items.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col("group_id").alias(f"g_{name}")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    def numbers(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    sizes = blocks(queries, "qn").join(blocks(items, "n"), F.col("g_qn") == F.col("g_n")).drop("g_n")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = queries.join(sizes, F.col("group_id") == F.col("g_qn"))
+    q = q.select("query", F.col("group_id").alias("qg"), F.col("embedding").alias("qe"), block("query", "qn").alias("q_qb"), numbers("n").alias("q_b"))
+    x = items.join(sizes, F.col("group_id") == F.col("g_qn")).select("uuid", "group_id", "embedding", block("uuid", "n").alias("b"), numbers("qn").alias("qb"))
+    pairs = q.join(x, (F.col("qg") == F.col("group_id")) & (F.col("q_qb") == F.col("qb")) & (F.col("q_b") == F.col("b")))
+    near = pairs.select("query", "uuid", vx.cosine(F.col("qe"), F.col("embedding")).alias("score")).filter((F.col("score") >= least) & (F.col("query") != F.col("uuid")))
+    return near.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uuid"))).filter(F.col("rn") <= limit_of(limit)).drop("rn")
 
 
 def context_string(facts: DataFrame, entities: DataFrame, episodes: DataFrame, communities: DataFrame) -> DataFrame:

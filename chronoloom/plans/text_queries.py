@@ -58,14 +58,14 @@ def lsh_bands(g, spark, d):
 
 
 def _extracted(g):
-    """Customers as extracted names: some as they are, some with a suffix, some shouted; and parts, whose names recur."""
+    """All entities as extracted names: some with an article, some with a suffix, some shouted; parts as they are, whose names recur."""
     n = F.regexp_extract("uuid", "(\\d+)", 1).cast("long")
     name = F.when(n % 3 == 0, F.upper("name")).when(n % 3 == 1, F.concat("name", F.lit("!"))).otherwise(F.concat(F.lit("The "), "name"))
-    return g.entity.filter("uuid LIKE 'C%' OR uuid LIKE 'P%'").select(F.concat(F.lit("x"), "uuid").alias("uuid"), F.when(F.col("uuid").startswith("P"), F.col("name")).otherwise(name).alias("name"))
+    return g.entity.select(F.concat(F.lit("x"), "uuid").alias("uuid"), F.when(F.col("uuid").startswith("P"), F.col("name")).otherwise(name).alias("name"))
 
 
 @query("resolve_names", f"""
-WITH ext AS (SELECT 'x' || uuid AS uuid, CASE WHEN uuid LIKE 'P%' THEN name WHEN substr(uuid, 2)::BIGINT % 3 = 0 THEN upper(name) WHEN substr(uuid, 2)::BIGINT % 3 = 1 THEN name || '!' ELSE 'The ' || name END AS name FROM entity WHERE label IN ('Customer', 'Part')),
+WITH ext AS (SELECT 'x' || uuid AS uuid, CASE WHEN uuid LIKE 'P%' THEN name WHEN substr(uuid, 2)::BIGINT % 3 = 0 THEN upper(name) WHEN substr(uuid, 2)::BIGINT % 3 = 1 THEN name || '!' ELSE 'The ' || name END AS name FROM entity),
 e AS (SELECT uuid, {_EXACT.format('name')} AS exact, {_FUZZY.format('name')} AS fuzzy FROM ext), x AS (SELECT uuid AS m, {_EXACT.format('name')} AS exact, {_FUZZY.format('name')} AS fuzzy FROM entity),
 names AS (SELECT exact, count(*) AS n, min(m) AS one FROM x GROUP BY exact), done AS (SELECT e.uuid, CASE WHEN n = 1 THEN one END AS match, CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS how FROM e JOIN names USING (exact)),
 rest AS (SELECT e.* FROM e WHERE exact NOT IN (SELECT exact FROM names)), every AS (SELECT fuzzy FROM rest UNION SELECT fuzzy FROM x),
@@ -79,9 +79,9 @@ def resolve_names(g, spark, d):
     return dd.resolve(_extracted(g), g.entity)
 
 
-@query("word_overlap_pairs", "WITH w AS (SELECT DISTINCT name, unnest(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) AS w FROM part_names) SELECT DISTINCT p.name AS a, q.name AS b FROM w p JOIN w q ON p.w = q.w AND p.name < q.name".replace("part_names", "(SELECT DISTINCT name FROM entity WHERE label = 'Part')"))
+@query("word_overlap_pairs", "WITH w AS (SELECT DISTINCT name, unnest(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) AS w FROM entity) SELECT DISTINCT p.name AS a, q.name AS b FROM w p JOIN w q ON p.w = q.w AND p.name < q.name")
 def word_overlap_pairs(g, spark, d):
-    return dd.word_overlap_pairs(g.entity.filter(F.array_contains("labels", "Part")).select("name"))
+    return dd.word_overlap_pairs(g.entity.select("name"))
 
 
 _EDGE = "edge AS (SELECT uuid, src, dst, 'quantity' || quantity || ' ' || lower(name) AS text FROM facts)"
@@ -112,28 +112,27 @@ def dedupe_edges(g, spark, d):
 
 
 def _chain(g):
-    """Each part is an alias of the next one in order of (name, uuid)."""
-    p = g.entity.filter(F.array_contains("labels", "Part"))
+    """Each entity is an alias of the next one of its name in order of uuid."""
     from pyspark.sql import Window as W
 
-    return p.select(F.col("uuid").alias("alias"), F.lead("uuid").over(W.partitionBy("name").orderBy("uuid")).alias("parent"), F.lit(0).alias("pos")).filter("parent is not null")
+    return g.entity.select(F.col("uuid").alias("alias"), F.lead("uuid").over(W.partitionBy("name").orderBy("uuid")).alias("parent"), F.lit(0).alias("pos")).filter("parent is not null")
 
 
-@query("directed_uuid_map", "SELECT uuid AS alias, last AS canonical FROM (SELECT uuid, max(uuid) OVER (PARTITION BY name) AS last FROM entity WHERE label = 'Part') WHERE uuid <> last")
+@query("directed_uuid_map", "SELECT uuid AS alias, last AS canonical FROM (SELECT uuid, max(uuid) OVER (PARTITION BY name) AS last FROM entity) WHERE uuid <> last")
 def directed_uuid_map(g, spark, d):
     return dd.directed_map(_chain(g))
 
 
-@query("duplicate_edges", "SELECT uuid AS src, first AS dst, 'IS_DUPLICATE_OF' AS name, name || ' is a duplicate of ' || name AS fact FROM (SELECT uuid, name, min(uuid) OVER (PARTITION BY name) AS first FROM entity WHERE label = 'Part') WHERE uuid <> first")
+@query("duplicate_edges", "SELECT uuid AS src, first AS dst, 'IS_DUPLICATE_OF' AS name, name || ' is a duplicate of ' || name AS fact FROM (SELECT uuid, name, min(uuid) OVER (PARTITION BY name) AS first FROM entity) WHERE uuid <> first")
 def duplicate_edges(g, spark, d):
-    p = g.entity.filter(F.array_contains("labels", "Part"))
+    p = g.entity
     first = p.groupBy(F.col("name").alias("dst_name")).agg(F.min("uuid").alias("dst"))
     return dd.duplicate_edges(p.select(F.col("uuid").alias("src"), F.col("name").alias("src_name")).join(first, F.col("src_name") == F.col("dst_name")))
 
 
-@query("canonical_by_episode", "SELECT DISTINCT m.src AS episode, first AS uuid FROM mentions m JOIN (SELECT uuid, min(uuid) OVER (PARTITION BY name) AS first FROM entity WHERE label = 'Part') p ON m.dst = p.uuid")
+@query("canonical_by_episode", "SELECT DISTINCT m.src AS episode, first AS uuid FROM mentions m JOIN (SELECT uuid, min(uuid) OVER (PARTITION BY name) AS first FROM entity) p ON m.dst = p.uuid")
 def canonical_by_episode(g, spark, d):
-    p = g.entity.filter(F.array_contains("labels", "Part"))
+    p = g.entity
     first = p.groupBy(F.col("name").alias("n")).agg(F.min("uuid").alias("canonical"))
     m = p.join(first, F.col("name") == F.col("n")).select(F.col("uuid").alias("alias"), "canonical")
     return dd.by_episode(g.mentions.select(F.col("src").alias("episode"), F.col("dst").alias("uuid")), m)

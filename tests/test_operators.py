@@ -120,6 +120,10 @@ def test_traversals(spark):
     assert {r.uuid: r.depth for r in graph.neighbors_within(e, "a", 2).collect()} == {"b": 1, "c": 1, "d": 2}
     assert {r.uuid: r.depth for r in graph.reach(graph.directed(e, "out"), graph.one(spark, "a"), 3).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert {(r.uuid, r.depth) for r in graph.edge_bfs(e, graph.one(spark, "a"), 2).collect()} == {("e1", 1), ("e7", 1), ("e2", 2)}
+    long = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n0", "n2")], "src string, dst string")
+    assert {r.uuid: r.depth for r in graph.neighbors_within(long, "n0", 7).collect()} == {"n1": 1} | {f"n{i}": i - 1 for i in range(2, 9)}
+    assert {r.uuid: r.path for r in graph.shortest_paths(long, "n0", 7).collect()}["n8"] == ["n0", *[f"n{i}" for i in range(2, 9)]]
+    assert graph.reach(graph.directed(long, "out"), graph.one(spark, "n7"), 10).count() == 3
     assert {r.uuid: r.path for r in graph.shortest_paths(e, "a", 4).collect()}["e"] == ["a", "b", "c", "d", "e"]
     assert sorted(r.path for r in graph.all_paths(e, "a", "c", 4).collect() if r.length == 2) == [["e1", "e2"], ["e7", "e2"]]
     counts = {(r.node, r.neighbor): r.edge_count for r in graph.neighbor_counts(e).collect()}
@@ -247,3 +251,21 @@ def test_delimited_cells(spark):
     df = spark.createDataFrame([(1, "n\tk\n1\t[a, 'b']\nbad\n2\t[]\nx\t[c]")], "id int, r string")
     got = delimited.parse_delimited(df, "r", StructType.fromDDL("n int, k array<string>")).collect()
     assert [(r.id, r.n, r.k) for r in got] == [(1, 1, ["a", "b"]), (1, 2, []), (1, None, ["c"])]
+
+
+def test_grouped_search_in_blocks(spark, monkeypatch):
+    """Blocks of a hot group give what comparing every query with all items of its group gives; rows without a group find nothing."""
+    import numpy as np
+
+    from chronoloom.operators import search as se
+
+    monkeypatch.setattr(se, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i:02d}", "hot" if i < 40 else "few" if i < 44 else None, [float(x) for x in rng.normal(size=3)]) for i in range(46)]
+    items = spark.createDataFrame(rows, "uuid string, group_id string, embedding array<double>")
+    got = {(r.query, r.uuid): r.score for r in se.relevant_pairs(items.withColumnRenamed("uuid", "query"), items, 5, 0.1).collect()}
+    want = {}
+    for q, g, v in rows:
+        near = [(-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), u) for u, h, w in rows if g is not None and h == g and u != q]
+        want |= {(q, u): -s for s, u in sorted(near)[:5] if -s >= 0.1}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
