@@ -119,6 +119,15 @@ def similar_edge_links(edges: DataFrame, least: float = 0.6) -> DataFrame:
     return stars.unionByName(near).distinct()
 
 
+def split_key(name: str) -> Column:
+    """A join key by which rows are dealt anew on both sides, even where minima by that column already lie in their place.
+
+    Only joins whose two sides are both shuffled for them can be split by adaptive execution, so that the links of one
+    hub need not meet in one task; the minima are narrow and pre-aggregated.
+    """
+    return F.struct(F.col(name).alias("k"))
+
+
 def undirected_map(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """(alias, canonical): the least id of each connected component of the pairs (a, b).
 
@@ -138,9 +147,9 @@ def undirected_map(pairs: DataFrame, rounds: int = 200) -> DataFrame:
             break
         both = links.union(links.select("b", "a"))
         low = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("a"), F.min("b")).alias("m"))
-        large = both.join(low, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, split_key("a") == split_key("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        small = large.join(low, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        small = large.join(low, split_key("a") == split_key("k")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         links = small.select("x.a", "x.b").filter("a <> b").distinct().checkpoint()
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -156,14 +156,13 @@ def graph_stats_of_group(g, spark, d):
     return _stat(g, "g0")
 
 
-_MAP = "SELECT uuid AS alias, first_value(uuid) OVER (PARTITION BY name ORDER BY uuid) AS canonical FROM entity WHERE label = 'Part'"
+_MAP = "SELECT uuid AS alias, first_value(uuid) OVER (PARTITION BY name ORDER BY uuid) AS canonical FROM entity"
 
 
 @query("resolve_pointers", f"""WITH m AS ({_MAP}) SELECT coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst, count(*) AS n FROM relates_to LEFT JOIN m a ON src = a.alias LEFT JOIN m b ON dst = b.alias GROUP BY 1, 2""")
 def resolve_pointers(g, spark, d):
-    parts = g.entity.filter(F.array_contains("labels", "Part"))
-    least = parts.groupBy("name").agg(F.min("uuid").alias("canonical")).withColumnRenamed("name", "n")
-    m = parts.join(least, F.col("name") == F.col("n")).select(F.col("uuid").alias("alias"), "canonical")
+    least = g.entity.groupBy("name").agg(F.min("uuid").alias("canonical")).withColumnRenamed("name", "n")
+    m = g.entity.join(least, F.col("name") == F.col("n")).select(F.col("uuid").alias("alias"), "canonical")
     return st.resolve_pointers(g.relates_to, m).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 

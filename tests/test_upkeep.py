@@ -151,3 +151,25 @@ def test_unknown_facts_change_nothing(spark):
     known = spark.createDataFrame([("k", "a", "b", "N", "f", T, None, None, None, "g", T)], schema)
     assert [(r.uuid, r.state, r.group_id, r.created_at) for r in resolve.resolve_edges(known.limit(0), known).collect()] == [("k", "kept", "g", T)]
     assert [(r.uuid, r.state) for r in resolve.resolve_edges(known, known.limit(0)).collect()] == [("k", "new")]
+
+
+def test_links_of_a_hub_are_split(spark):
+    """A hub that most links lead to: one component, and the join that its links meet in is split at run time."""
+    from pyspark.sql import functions as F
+
+    tiny = {"skewedPartitionThresholdInBytes": "1k", "skewedPartitionFactor": "1.0"}
+    conf = {f"spark.sql.adaptive.skewJoin.{k}": v for k, v in tiny.items()} | {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.range(0, 6000, 1, 6).select((F.col("id") + 1).alias("a"), F.lit(0).cast("long").alias("b"))
+        both = links.union(links.select("b", "a"))
+        low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        joined = both.join(low, dd.split_key("a") == dd.split_key("k"))
+        assert len(joined.collect()) == 12000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert {r.canonical for r in dd.undirected_map(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
