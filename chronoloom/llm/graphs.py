@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import split_key
 from .common import materialise
 
 
@@ -13,7 +14,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps until the link set no longer changes; each round
     ends in a written table, so lost executors cost one round at most and plans stay short. A
-    node's neighbours are never gathered: steps are minima (pre-aggregated) joined back to links.
+    node's neighbours are never gathered: steps are minima (pre-aggregated) joined back to links, in
+    joins that adaptive execution can split where most links lead to one node.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     state = _state(edges)
@@ -22,9 +24,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["k"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, split_key("a") == split_key("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        joined = large.join(least, large["a"] == least["k"])
+        joined = large.join(least, split_key("a") == split_key("k"))
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         edges = materialise(small.filter("a <> b").distinct(), "links", 2 * state[0])
         now = _state(edges)
