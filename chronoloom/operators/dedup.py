@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -185,6 +186,14 @@ def ensure_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the session's shared folder; of long tables it takes a part of what a checkpoint does."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def merge_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     """One edge of each group: the canonical one, its empty text and name filled from the first member that has them."""
     m = edges.join(canonical.withColumnRenamed("alias", "al"), F.col("uuid") == F.col("al"), "left").withColumn("root", F.coalesce("canonical", "uuid"))

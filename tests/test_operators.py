@@ -166,6 +166,38 @@ def test_label_propagation_against_a_plain_loop(spark):
         assert {r.node: r.label for r in community.label_propagation(df, rounds).collect()} == plain_propagation(adj, rounds)
 
 
+def test_shared_items_are_counted_in_blocks_without_shuffling_pairs(spark, monkeypatch):
+    """Copies of rows, nulls, lone members, an item that all share, a member of all items; many blocks, cuts inside an item and a member."""
+    rng = random.Random(5)
+    held = {(f"S{rng.randrange(60)}", rng.randrange(90)) for _ in range(500)} | {(f"S{i}", 7) for i in range(60)} | {("S9", i) for i in range(90)}
+    rows = [*sorted(held), *sorted(held)[::3], ("lone", 1000), (None, 7), ("S1", None)]
+    adj = defaultdict(Counter)
+    for a, p in held:
+        for b, q in held:
+            if p == q and a != b:
+                adj[a][b] += 1
+    df = spark.createDataFrame(rows, "member string, item long")
+    for name, value in (("BLOCK_ROWS", 100), ("DEALT", 40), ("SORTED", 50)):
+        monkeypatch.setattr(community, name, value)
+    names, lists = community.sharing(df)
+    got = lists.collect()
+    assert len(got) == len(adj) and {names[r.node].as_py(): {names[k].as_py(): w for k, w in zip(r.near, r.weight)} for r in got} == adj
+    moved = []
+    monkeypatch.setattr(community, "stored", lambda df: moved.append(df._jdf.queryExecution().optimizedPlan().toString()) or dedup.stored(df))
+    for rounds in (1, 2, 100):
+        assert {r.node: r.label for r in community.label_propagation_by_items(df, rounds).collect()} == plain_propagation(adj, rounds)
+    assert moved and not any("Join" in plan for plan in moved)
+
+
+def test_propagation_takes_odd_adjacencies(spark):
+    """No rows; a neighbour that is no node; pairs given twice; a weight that is missing."""
+    schema = "node string, neighbor string, edge_count long"
+    assert community.label_propagation(spark.createDataFrame([], schema)).collect() == []
+    assert community.label_propagation_by_items(spark.createDataFrame([], "member string, item long")).collect() == []
+    df = spark.createDataFrame([("a", "b", 1), ("a", "b", 1), ("b", "x", 5), ("b", "a", None), ("c", "x", 3)], schema)
+    assert {r.node: r.label for r in community.label_propagation(df, 1).collect()} == {"a": "b", "b": "b", "c": "c"}
+
+
 def test_summaries_reduce_in_pairs():
     assert community.reduce_pairs(["a", "b", "c", "d"], lambda x, y: x + y) == "acbd"
     assert community.reduce_pairs(["a", "b", "c"], lambda x, y: x + y) == "abc"
