@@ -198,6 +198,32 @@ def test_propagation_takes_odd_adjacencies(spark):
     assert {r.node: r.label for r in community.label_propagation(df, 1).collect()} == {"a": "b", "b": "b", "c": "c"}
 
 
+def test_numbered_names_meet_only_where_they_are_alike(spark):
+    """Names of one pattern share all but a digit's shingles: those found equal brute force, and few others are proposed."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.functions import text as tx
+
+    def shingled(n):
+        s = n.replace(" ", "")
+        return {s} if len(s) == 1 else {s[i : i + 3] for i in range(len(s) - 2)}
+
+    rng = random.Random(4)
+    names = [f"customer 000{i:06d}" for i in range(0, 1200)] + ["a", "ab", "abc", "customer 000111111", "customer 000011111"]
+    names += ["".join(rng.choice("abcde") for _ in range(k)) for k in (17, 18, 19, 20, 21, 22, 30, 60)]
+    names += [n[:-1] for n in names[-8:]] + [n[:-2] for n in names[-8:]] + [n + "z" for n in names[-8:]]
+    sets = {n: shingled(n) for n in names}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if x and y and len(x & y) >= 0.9 * len(x | y) - 1e-12}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {(r.a, r.b) for r in dedup.similar_names(df, df).collect()} == want
+    short = df.distinct().withColumn("s", F.array_distinct(tx.shingles(F.col("n")))).filter(F.size("s").between(1, 18))
+    assert dedup.one_apart(short, short).count() < 2 * len(want)
+    named = df.distinct().withColumn("name", F.col("n")).filter(F.length("n") > 2)
+    of = dedup.bands(dedup.minhash(named, "n"), "n").groupBy("n").agg(F.collect_list("value").alias("v")).join(dedup.band_keys(named.select(F.col("n").alias("uuid"), F.array_distinct(tx.shingles(F.col("n"))).alias("s"))).toDF("m", "k"), F.col("n") == F.col("m")).limit(200).collect()
+    for p, q in zip(of, of[1:]):
+        assert bool(set(p.v) & set(q.v)) == bool(set(p.k) & set(q.k))
+
+
 def test_summaries_reduce_in_pairs():
     assert community.reduce_pairs(["a", "b", "c", "d"], lambda x, y: x + y) == "acbd"
     assert community.reduce_pairs(["a", "b", "c"], lambda x, y: x + y) == "abc"
