@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Frame, slices, table, text_buffer
+from .common import Frame, lean, slices, table, text_buffer
 from .tokens import find_words
 
 #: Hashed terms (2**TERM_BITS) and latent dimensions.
@@ -108,7 +108,7 @@ def sketch(docs: DataFrame, *, text: str = "text", seed: int = 11) -> tuple[np.n
     ys = [f"y{k}" for k in range(DIMENSIONS)]
     schema = "term int, df long, " + ", ".join(f"{y} float" for y in ys)
     slim = f.df.select(F.col(f.at(text)).cast("string").alias("text"))
-    got = slim.mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(F.col(y).cast("double")).alias(y) for y in ys]).toArrow()
+    got = slim.mapInArrow(lean(run), schema).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(F.col(y).cast("double")).alias(y) for y in ys]).toArrow()
     back, df, passages = np.zeros((1 << TERM_BITS, DIMENSIONS)), np.zeros(1 << TERM_BITS), 0
     at = got["term"].to_numpy()
     real = at >= 0
@@ -311,7 +311,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
                     cols = list(zip(*found, strict=True)) or [[]] * 7
                     yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.string())], names=["doc_id", "item_id", "lcs", "cosine", "start", "stop", "kind"])
 
-        out = out.unionByName(slim.mapInArrow(run, LEAK_SCHEMA))
+        out = out.unionByName(slim.mapInArrow(lean(run), LEAK_SCHEMA))
     return out
 
 
@@ -328,12 +328,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text")
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offs = text_buffer(batch.column(at))
-                clean = np.ones(len(batch), bool)
                 for i, j in slices(offs, 1 << 20):
-                    clean[[i + r[0] for r in find_leaks(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value)]] = False
-                yield batch.filter(pa.array(clean))
+                    clean = np.ones(j - i, bool)
+                    clean[[r[0] for r in find_leaks(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
 
-        out = out.mapInArrow(run, T.StructType(out.schema.fields))
+        out = out.mapInArrow(lean(run), T.StructType(out.schema.fields))
     return out.toDF(*f.names)
 
 

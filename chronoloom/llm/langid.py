@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Frame, first_by_hash, slices, table, text_buffer
+from .common import Frame, first_by_hash, lean, slices, table, text_buffer
 from .tokens import BASE, INVERSE, SLICE, Words, cut_at_gaps, find_words, lowered, powers
 
 #: The public vocabulary; a parameter of every function that reads it.
@@ -206,7 +206,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 counted = found.group_by(["lang", "word"]).aggregate([([], "count_all")])
                 yield from counted.rename_columns(["lang", "word", "n"]).to_batches()
 
-    return texts.mapInArrow(run, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = 4, chunk: int = 2_048) -> Model:
@@ -294,17 +294,17 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(at)
             data, offs = text_buffer(texts)
-            pred, score = [], []
             for i, j in slices(offs, SLICE):
                 part, edges = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 told = has_letter(part, edges) & bool(m.languages)
                 p = posteriors(m.log_likelihoods(part, edges)[0]) if told.any() else None
                 best = p.argmax(axis=1) if told.any() else None
-                pred += [m.languages[best[r]] if told[r] else "und" for r in range(j - i)]
-                score += [float(p[r, best[r]]) if told[r] else 0.0 for r in range(j - i)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[c for c, _ in kept] + ["lang_pred", "score"])
+                pred = [m.languages[best[r]] if told[r] else "und" for r in range(j - i)]
+                score = [float(p[r, best[r]]) if told[r] else 0.0 for r in range(j - i)]
+                own = batch.slice(i, j - i).columns
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[c for c, _ in kept] + ["lang_pred", "score"])
 
-    return df.mapInArrow(run, schema).toDF(*[n for _, n in kept], "lang_pred", "score")
+    return df.mapInArrow(lean(run), schema).toDF(*[n for _, n in kept], "lang_pred", "score")
 
 
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Frame, materialise, text_buffer
+from .common import Frame, lean, materialise, text_buffer
 from .graphs import components
 from .shingles import distinct_in_rows, each_slice, simhashes
 from .simhash import covering_links
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             numbers = pa.array(np.arange(n, dtype=np.int32) * SPREAD + task)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.int32()), numbers, packed], names=names)
 
-    return _texts(docs, key, text).mapInArrow(run, "id bigint, d bigint, fp bigint, fp2 bigint, m int, block int, counts binary")
+    return _texts(docs, key, text).mapInArrow(lean(run), "id bigint, d bigint, fp bigint, fp2 bigint, m int, block int, counts binary")
 
 
 def shingle_levels(made: DataFrame) -> np.ndarray:
@@ -85,7 +85,7 @@ def shingle_levels(made: DataFrame) -> np.ndarray:
                 sums[b] = sums[b] + part if b in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "counts"])
 
-    parts = made.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary")
+    parts = made.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(lean(run), "block int, counts binary")
     total = np.zeros(COUNTERS, np.int64)
     for row in parts.toLocalIterator():
         b = row["block"] // SPREAD
@@ -129,7 +129,7 @@ def tokens(docs: DataFrame, key: str, text: str, words: int, similarity: float,
                 p = (deal << 54) | (place << 28) | m[row]
                 yield pa.RecordBatch.from_arrays([pa.array(_i64(h)), pa.array(p), pa.array(_i64(d[row]))], names=["s", "p", "d"])
 
-    return _texts(docs, key, text).select("id", "text").mapInArrow(run, "s bigint, p bigint, d bigint")
+    return _texts(docs, key, text).select("id", "text").mapInArrow(lean(run), "s bigint, p bigint, d bigint")
 
 
 def _fits(similarity: float, m, i, n, j):
@@ -179,7 +179,7 @@ def shared_tokens(prefixes: DataFrame, similarity: float) -> DataFrame:
 
     deal = F.shiftright("p", 54)
     sorted_rows = prefixes.repartition("s", deal).sortWithinPartitions("s", "p", "d")
-    return sorted_rows.mapInArrow(run, "s bigint, p bigint, d bigint, pivot bigint")
+    return sorted_rows.mapInArrow(lean(run), "s bigint, p bigint, d bigint, pivot bigint")
 
 
 def chosen_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def chosen_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(_i64(d)), sets], names=["d", "shingles"])
 
     rows = _texts(docs, key, text).select(slot.cast("long").alias("h"), "text")
-    return rows.mapInArrow(run, "d bigint, shingles array<int>")
+    return rows.mapInArrow(lean(run), "d bigint, shingles array<int>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
