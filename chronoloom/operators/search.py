@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import vector as vx
+from .near import best_of_blocks
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -334,7 +336,8 @@ def relevant_pairs(queries: DataFrame, items: DataFrame, limit: int = DEFAULT_LI
     """(query, uuid, score): for every query row (query, group_id, embedding) its best items of the same group by cosine.
 
     Queries and items of a group meet in blocks of about BLOCK rows of each, so a group that holds most rows is dealt
-    over many tasks; a task keeps only the best of each query before they are shuffled. Rows without a group have no items.
+    over many tasks. A task multiplies matrices in single precision, works out in double precision what may be among a
+    query's best, and keeps only those before they are shuffled. Rows without a group have no items.
     """
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -343,14 +346,21 @@ def relevant_pairs(queries: DataFrame, items: DataFrame, limit: int = DEFAULT_LI
     def numbers(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
+    limit = limit_of(limit)
+    kinds = {df.schema["embedding"].dataType.simpleString() for df in (queries, items)}
+    kind = kinds.pop() if kinds in ({"array<float>"}, {"array<double>"}) else "array<double>"
     sizes = blocks(queries, "qn").join(blocks(items, "n"), F.col("g_qn") == F.col("g_n")).drop("g_n")
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    q = queries.join(sizes, F.col("group_id") == F.col("g_qn"))
-    q = q.select("query", F.col("group_id").alias("qg"), F.col("embedding").alias("qe"), block("query", "qn").alias("q_qb"), numbers("n").alias("q_b"))
-    x = items.join(sizes, F.col("group_id") == F.col("g_qn")).select("uuid", "group_id", "embedding", block("uuid", "n").alias("b"), numbers("qn").alias("qb"))
-    pairs = q.join(x, (F.col("qg") == F.col("group_id")) & (F.col("q_qb") == F.col("qb")) & (F.col("q_b") == F.col("b")))
-    near = pairs.select("query", "uuid", vx.cosine(F.col("qe"), F.col("embedding")).alias("score")).filter((F.col("score") >= least) & (F.col("query") != F.col("uuid")))
-    return near.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uuid"))).filter(F.col("rn") <= limit_of(limit)).drop("rn")
+    q = queries.filter("query is not null").join(sizes, F.col("group_id") == F.col("g_qn"))
+    x = items.filter("uuid is not null").join(sizes, F.col("group_id") == F.col("g_qn"))
+    vec, name = F.col("embedding").cast(kind).alias("embedding"), F.col("g_qn").cast("string").alias("g")
+    q = q.select(name, block("query", "qn").alias("qb"), numbers("n").alias("b"), F.lit(0).alias("side"), "query", F.lit(None).cast(items.schema["uuid"].dataType).alias("uuid"), vec)
+    x = x.select(name, numbers("qn").alias("qb"), block("uuid", "n").alias("b"), F.lit(1).alias("side"), F.lit(None).cast(queries.schema["query"].dataType).alias("query"), "uuid", vec)
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = q.unionByName(x).repartition(parts, "g", "qb", "b").sortWithinPartitions("g", "qb", "b", "side", "uuid")
+    schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("uuid", items.schema["uuid"].dataType), T.StructField("score", T.DoubleType())])
+    near = rows.mapInArrow(lambda batches: best_of_blocks(batches, limit, least), schema)
+    return near.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uuid"))).filter(F.col("rn") <= limit).drop("rn")
 
 
 def context_string(facts: DataFrame, entities: DataFrame, episodes: DataFrame, communities: DataFrame) -> DataFrame:

@@ -327,3 +327,35 @@ def test_grouped_search_in_blocks(spark, monkeypatch):
         near = [(-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), u) for u, h, w in rows if g is not None and h == g and u != q]
         want |= {(q, u): -s for s, u in sorted(near)[:5] if -s >= 0.1}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def _pairs_one_by_one(queries, items, limit, least):
+    """What ``relevant_pairs`` returns, with each pair of a group as a row of its own."""
+    from pyspark.sql import Window as W
+
+    x = items.select(F.col("uuid"), F.col("group_id").alias("h"), F.col("embedding").alias("e"))
+    near = queries.join(x, F.col("group_id") == F.col("h")).select("query", "uuid", vx.cosine(F.col("embedding"), F.col("e")).alias("score"))
+    near = near.filter((F.col("score") >= least) & (F.col("query") != F.col("uuid")))
+    return near.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "uuid"))).filter(F.col("rn") <= limit).drop("rn")
+
+
+def test_grouped_search_by_matrices(spark, monkeypatch):
+    """Pairs are no rows of a join; copies, ties, odd vectors and repeated ids give what single pairs give, to the last bit."""
+    from chronoloom.operators import near as nr
+    from chronoloom.operators import search as se
+
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(30, 5)).astype(np.float32)
+    vectors = [[float(x) for x in some[i % 30] * (3 if i % 4 == 0 else 1)] for i in range(300)]
+    vectors += [[0.0] * 5, None, [], [1.0, None, 2.0, 0.0, 0.0], [1.0, 2.0], [2.0, 4.0], [1e-30, 0.0, 0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0, 0.0]]
+    rows = [(i * 7 % 311, "a" if i % 3 else "b", v) for i, v in enumerate(vectors)] + [(3, "a", vectors[4]), (3, "a", vectors[4]), (3, "a", vectors[5])]
+    monkeypatch.setattr(nr, "ITEMS", 64)
+    monkeypatch.setattr(nr, "QUERIES", 16)
+    for kind, block, least, limit in (("float", 20_000, 0.6, 10), ("double", 90, 0.2, 3), ("float", 60, -0.5, 4)):
+        monkeypatch.setattr(se, "BLOCK", block)
+        items = spark.createDataFrame(rows, f"uuid long, group_id string, embedding array<{kind}>").localCheckpoint()
+        queries = items.withColumnRenamed("uuid", "query")
+        got, want = (sorted(map(str, f(queries, items, limit, least).collect())) for f in (se.relevant_pairs, _pairs_one_by_one))
+        assert len(want) > 300 and got == want
+    plan = se.relevant_pairs(queries, items)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(zip_with" not in plan
