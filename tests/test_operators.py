@@ -242,6 +242,31 @@ def test_numbered_names_meet_only_where_they_are_alike(spark):
         assert bool(set(p.v) & set(q.v)) == bool(set(p.k) & set(q.k))
 
 
+def test_long_names_of_one_pattern_meet_only_where_they_are_alike(spark):
+    """Names of 18 shingles or more that differ in a few places: those found equal brute force, and few others are proposed."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.functions import text as tx
+
+    rng = random.Random(9)
+    names = [f"the customer {i:06d} copy {k}" for i in range(300) for k in (1, 7, 12)]
+    long = ["".join(rng.choice("abcdefgh") for _ in range(k)) for k in (20, 22, 31, 45, 62, 90)]
+    names += long + [n[:-c] for n in long for c in (1, 2, 3)] + [n[:i] + "z" + n[i + 1 :] for n in long for i in (0, len(n) // 2)]
+    sets = {n: dedup.shingle_set(n) for n in names}
+    df = spark.createDataFrame([(n,) for n in sets], "n string")
+    shingled = df.withColumn("s", F.array_distinct(tx.shingles(F.col("n"))))
+    assert {r.n: set(r.s) for r in shingled.collect()} == sets
+    for least in (0.9, 0.6):
+        want = {(a, b) for a, x in sets.items() for b, y in sets.items() if len(x & y) >= least * len(x | y) - 1e-12}
+        got = dedup.similar_names(df, df, least)
+        assert {(r.a, r.b) for r in got.collect()} == want
+        if least == 0.9:
+            held = shingled.filter(F.size("s") >= 18)
+            assert dedup.shared_rare(held, held, least, 18).count() < 4 * len(want)
+            keys = {r.uuid: set(r["keys"]) for r in dedup.band_keys(shingled.select(F.col("n").alias("uuid"), "s")).collect()}
+            assert {(r.a, r.b) for r in dedup.sharing_bands(got).collect()} == {(a, b) for a, b in want if keys[a] & keys[b]}
+
+
 def test_summaries_reduce_in_pairs():
     assert community.reduce_pairs(["a", "b", "c", "d"], lambda x, y: x + y) == "acbd"
     assert community.reduce_pairs(["a", "b", "c"], lambda x, y: x + y) == "abc"
